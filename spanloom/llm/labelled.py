@@ -14,18 +14,18 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, rows_per_class: int, max_chars: int) -> pa.Table:
-    """text, label, fold and the label's total number of rows, for at most 2 * rows_per_class rows.
+def sample(docs: DataFrame, labels: DataFrame, target: str, rows: tuple[int, int], max_chars: int) -> pa.Table:
+    """text, label, fold and the label's total number of rows, for at most rows[label] rows of each label.
 
     Of each class the rows of least xxhash64(doc_id) outside fold 0, texts of over ``max_chars``
-    characters left out; so at most 2 * rows_per_class * max_chars characters come to the driver.
+    characters left out; so at most sum(rows) * max_chars characters come to the driver.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).filter(fold() != 0)
     totals = own.groupBy("label").agg(F.count("*").alias("total"))
     picked = None
     for label in (0, 1):
-        part = own.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
+        part = own.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[label])
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.join(F.broadcast(totals), "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= max_chars)

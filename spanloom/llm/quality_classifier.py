@@ -5,7 +5,7 @@ word before is the same), one and two at a time, in 2 ** BITS slots; a feature's
 the text's n-grams times ``SCALE``.  A score is the logistic of the dot product of these with the
 weights.  Texts are read whole.
 
-Training takes a bounded sample (``ROWS_PER_CLASS`` texts of either label, of at most ``MAX_CHARS``
+Training takes a bounded sample (``ROWS`` texts of each label, of at most ``MAX_CHARS``
 characters; rare labels weigh what they weigh in the labels) and runs on the driver, one text at a
 time with per-coordinate rates.  Null and empty texts score by the bias alone.  Without labels all
 score 0.5.  Repeated rows score alike; an empty table gives an empty result; other columns are not read.
@@ -22,7 +22,7 @@ from .bytes import mix, words
 from .bytes import utf8 as utf8_of
 from .labelled import sample, scored
 
-BITS, SCALE, ROWS_PER_CLASS, MAX_CHARS, EPOCHS = 18, 30.0, 3000, 40_000, 3
+BITS, SCALE, ROWS, MAX_CHARS, EPOCHS = 18, 30.0, (3000, 3000), 40_000, 3
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.02, 0.01
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -82,7 +82,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> np.ndarray:
     """The weights, float32, the bias last."""
-    got = sample(docs, labels, target, ROWS_PER_CLASS, MAX_CHARS)
+    got = sample(docs, labels, target, ROWS, MAX_CHARS)
     size = 1 << BITS
     y = got["label"].to_numpy().astype(float)
     if not len(y):

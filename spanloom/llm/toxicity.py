@@ -1,17 +1,17 @@
-"""Toxicity by two Kneser-Ney models of bytes: one of toxic, one of ordinary texts.
-
-Both models are of order ``ORDER`` and discount their own counts; what they set free goes to one
-shared model of the lower orders, interpolated Kneser-Ney on the continuation counts of both classes
-together.  So a rare expression is judged by its class only as far as its class has seen it.  A text's
-evidence is the difference of the log-likelihoods over its length in bytes; a logistic curve fitted
-on labelled texts that the counts have not seen (fold 1) turns it into a score.  Letters count in lower
-case, and white space as one space.
-
-The counts come from a bounded sample: ``ROWS_PER_CLASS`` texts of either label, of at most
-``MAX_CHARS`` characters; scoring covers all texts, whole.  The log-ratios lie in hashed tables with
-32-bit checks, so an n-gram that was not seen is known as such.  Null and empty texts have no evidence
-and score by the curve's intercept.  Without labels of both kinds all score 0.  Repeated rows score
-alike; an empty table gives an empty result; other columns are not read.
+"""Toxicity by two Kneser-Ney models of the bytes of words: one of toxic, one of ordinary texts.
+
+A model gives each byte of a word, and the space behind it, a probability after up to ORDER - 1 bytes
+of the same word.  Both models discount their own counts; what they set free goes to one shared model
+of the lower orders, interpolated Kneser-Ney on the continuation counts of both classes together, so
+a rare expression is judged by its class only as far as its class has seen it.  A text's evidence is
+the difference of the two log-likelihoods over its length, and over the length's root; a logistic
+curve on these and the length, fitted on labelled texts that the counts have not seen (fold 1), turns
+it into a score.  Letters count in lower case.
+
+The counts come from a bounded sample: ``ROWS`` ordinary and toxic texts of at most ``MAX_CHARS``
+characters; scoring covers all texts, whole.  The log-ratios lie in hashed tables with 32-bit checks, so an
+n-gram that was not seen is known as such.  Null and empty texts score 0, as do all without labels of
+both kinds.  Repeated rows score alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,37 +20,42 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bytes import groups, mix
 from .bytes import utf8 as utf8_of
 from .labelled import sample, scored
 
-ORDER, DISCOUNT, ROWS_PER_CLASS, MAX_CHARS, TABLE_BITS = 6, 0.75, 6000, 20_000, 21
+ORDER, DISCOUNT, ROWS, MAX_CHARS, TABLE_BITS = 4, 0.75, (16_000, 4_000), 20_000, 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(text, n-gram) of every byte: it and the ones before it in its text, spaces before the first.
+def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text, n-gram) of every byte of every word, and of the space behind it: the byte and those before it in its word, spaces before the first.
 
     An n-gram is a number whose highest byte is the newest.
     """
-    here = _LOWER[data[offsets[0] : offsets[-1]]]
+    order = order or ORDER
+    here = np.append(_LOWER[data[offsets[0] : offsets[-1]]], np.uint8(32))
     cuts = offsets - offsets[0]
-    keep = np.ones(len(here), bool)
-    keep[1:] = (here[1:] != 32) | (here[:-1] != 32)
-    doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[keep]
-    here = here[keep]
-    place = np.arange(len(here)) - np.searchsorted(doc, np.arange(len(cuts) - 1))[doc]
+    doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    doc = np.append(doc, doc[-1] if len(doc) else 0)
+    inside = here != 32
+    fresh = np.ones(len(here), bool)  # no byte of the word stands before
+    fresh[1:] = ~inside[:-1] | (doc[1:] != doc[:-1])
+    at = np.arange(len(here))
+    place = at - np.maximum.accumulate(np.where(fresh, at, 0))
     code = here.astype(np.uint64) << np.uint64(8 * (order - 1))
     for back in range(1, order):
         before = np.full(len(here), 32, np.uint64)
         before[back:] = here[:-back]
         before[place < back] = 32
         code |= before << np.uint64(8 * (order - 1 - back))
-    return doc, code
+    use = inside | ~fresh
+    return doc[use], code[use]
 
 
 def _count(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,45 +130,42 @@ def _look(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, bits: int = T
 
 
 def evidence(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Difference of the log-likelihoods of each text over its bytes."""
+    """Of each text: difference of the log-likelihoods over length and over its root, and two terms of the length."""
     doc, code = grams(data, offsets)
     hit, ratio = _look(model["seen"], code)
     rest = np.flatnonzero(~hit)
     known, other = _look(model["free"], code[rest] & np.uint64((1 << 8 * (ORDER - 1)) - 1))
     ratio[rest] = np.where(known, other, 0)
-    n = len(offsets) - 1
-    return np.bincount(doc, ratio.astype(float), n) / np.maximum(np.bincount(doc, minlength=n), 1)
-
-
-def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic regression with a weak ridge, by Newton's method."""
-    scale = max(float(np.sqrt((weights * x * x).sum() / weights.sum())), 1e-9)
-    design = np.stack([x / scale, np.ones(len(x))], axis=1)
-    beta = np.zeros(2)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -35, 35)))
-        grad = design.T @ (weights * (p - y)) + np.array([1e-3, 1e-6]) * beta
-        hess = (design * (weights * p * (1 - p))[:, None]).T @ design + np.diag([1e-3, 1e-6])
-        beta -= np.clip(np.linalg.solve(hess, grad), -4, 4)
-    return float(beta[0] / scale), float(beta[1])
-
-
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> dict:
-    import pyarrow.compute as pc
-
-    got = sample(docs, labels, target, ROWS_PER_CLASS, MAX_CHARS)
-    counts = got.filter(pc.not_equal(got["fold"], 1))
-    part = lambda t, label: t.filter(pc.equal(t["label"], label))["text"]
+    docs = len(offsets) - 1
+    total, n = np.bincount(doc, ratio.astype(float), docs), np.maximum(np.bincount(doc, minlength=docs), 1)
+    return np.stack([total / n, total / np.sqrt(n), np.log(n), 1 / np.sqrt(n), np.ones(docs)], axis=1)
+
+
+def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Coefficients of a weighted logistic regression with a weak ridge, by Newton's method."""
+    scale = np.maximum(np.sqrt((x * x).mean(axis=0)), 1e-9)
+    x, beta = x / scale, np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
+        hess = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta))
+        beta -= np.clip(np.linalg.solve(hess, x.T @ (weights * (p - y)) + 1e-2 * beta), -4, 4)
+    return beta / scale
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> dict | None:
+    """The tables and the curve; None without labels of both kinds to count and to fit on."""
+    got = sample(docs, labels, target, ROWS, MAX_CHARS)
+    part = lambda fit, label: got.filter(pc.and_(pc.equal(pc.equal(got["fold"], 1), fit), pc.equal(got["label"], label)))["text"]
+    if not all(len(part(fit, label)) for fit in (False, True) for label in (0, 1)):
+        return None
+    seen, free = log_ratios(part(False, 1), part(False, 0))
+    model = {"seen": _table(*seen), "free": _table(*free)}
     check = got.filter(pc.equal(got["fold"], 1))
     y = check["label"].to_numpy().astype(float)
-    seen, free = log_ratios(part(counts, 1), part(counts, 0))
-    model = {"seen": _table(*seen), "free": _table(*free), "slope": 0.0, "intercept": -35.0}
-    if 0 < y.sum() < len(y) and len(part(counts, 1)) and len(part(counts, 0)):
-        data, offsets = utf8_of(check["text"])
-        x = np.concatenate([evidence(model, data, offsets[i : j + 1]) for i, j in groups(offsets)])
-        weights = check["total"].to_numpy() / np.where(y == 1, y.sum(), (1 - y).sum())
-        model["slope"], model["intercept"] = curve(x, y, weights / weights.mean())
-    return model
+    data, offsets = utf8_of(check["text"])
+    x = np.concatenate([evidence(model, data, offsets[i : j + 1]) for i, j in groups(offsets)])
+    weights = check["total"].to_numpy() / np.where(y == 1, y.sum(), (1 - y).sum())
+    return model | {"curve": curve(x, y, weights / weights.mean())}
 
 
 def classify(docs: DataFrame, labels: DataFrame, predict_from: float = 0.5) -> DataFrame:
@@ -171,7 +173,9 @@ def classify(docs: DataFrame, labels: DataFrame, predict_from: float = 0.5) -> D
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        m = model.value
-        return 1 / (1 + np.exp(-np.clip(m["slope"] * evidence(m, data, offsets) + m["intercept"], -35, 35)))
+        if model.value is None:
+            return np.zeros(len(offsets) - 1)
+        p = 1 / (1 + np.exp(-np.clip(evidence(model.value, data, offsets) @ model.value["curve"], -35, 35)))
+        return np.where(np.diff(offsets) > 0, p, 0.0)
 
     return scored(docs, score, predict_from)
