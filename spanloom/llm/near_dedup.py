@@ -4,10 +4,10 @@ Texts with equal content are one class (64-bit hash of the text).  Classes that
 candidates; two classes are linked if the Jaccard overlap of their shingle multisets is ``threshold``
 or more, computed from the whole texts.  Groups are the connected components of the links.
 
-A band's bucket is never expanded into all pairs: its members are first checked against one leader,
-the least class; in buckets whose members then still lie in several groups, against leaders drawn
-anew; and at last, only between members of different groups of a bucket, all pairs.  What is left
-out are pairs that are in one group already, so groups are those of all candidate pairs.
+A band's bucket is never expanded into rows of pairs: its members are first checked against one
+leader, the one that meets most others.  Buckets whose members then still lie in several groups are
+compared block against block inside tasks.  What is left out are pairs that are in one group already,
+so groups are those of all candidate pairs.
 
 Null texts count as empty; texts without words are alike only if equal; a short text with words is one
 shingle.  A group keeps its row of least doc_id (nulls last), of equal rows one.  An empty table gives
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import COMPONENTS, bands, signatures
-from .bytes import counted, groups, shingles, utf8, words
+from .bytes import counted, groups, mix, shingles, utf8, words
 from .components import components
 from .storage import small_batches, written
 
-WORDS, THRESHOLD, ROUNDS = 5, 0.8, 2
+WORDS, THRESHOLD, BLOCK, COLUMNS = 5, 0.8, 128, 8192
 _NO_ID = (1 << 63) - 1
 
 
@@ -83,35 +83,85 @@ def overlap(pairs: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, overlap double")
 
 
-def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def spanning_links(texts: pa.Array, roots: np.ndarray, threshold: float, k: int = WORDS) -> list[tuple[int, int]]:
+    """Of all pairs of texts of different roots with an overlap of ``threshold`` or more, enough to connect what they connect."""
+    n = len(texts)
+    data, offsets = utf8(texts)
+    doc, hashes, times = (np.concatenate(x) for x in zip(*((d + i, h, t) for i, j in groups(offsets) for d, h, t in [counted(*shingles(words(data, offsets[i : j + 1]), k))]), strict=True))
+    total = np.bincount(doc, times, n)
+    # The r-th copy of a shingle is an element of its own: multisets become sets.
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    doc, element = np.repeat(doc, times), mix(np.repeat(hashes, times) + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    _, column, often = np.unique(element, return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    order = np.argsort(column[keep], kind="stable")
+    doc, column = doc[keep][order], np.cumsum(np.diff(column[keep][order], prepend=-1) > 0) - 1
+    common = np.zeros((n, n))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[doc[i:j], column[i:j] - lo] = 1
+        common += part @ part.T
+    every = total[:, None] + total[None, :] - common
+    share = np.divide(common, every, out=np.zeros((n, n)), where=every > 0)
+    parent = {r: r for r in roots.tolist()}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(share >= threshold, 1) & (roots[:, None] != roots[None, :])), strict=True):
+        one, two = top(int(roots[i])), top(int(roots[j]))
+        if one != two:
+            parent[one] = two
+            out.append((int(i), int(j)))
+    return out
+
+
+def cross_links(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes of different groups in a bucket, from ``placed`` (class, bucket, root).
+
+    Each bucket is cut by hash into blocks of about ``BLOCK`` members, and each two blocks meet in one
+    task, which holds the texts of both, compares all pairs and returns links that connect them: no
+    pair is a row, and a row is copied once for each block of its bucket.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, text = rows["class"].to_numpy(), rows["text"].combine_chunks()
+        found = spanning_links(text, rows["root"].to_numpy(), threshold)
+        ends = [[int(ids[x[side]]) for x in found] for side in (0, 1)]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("class", "root", "text", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, root) of the classes that have a near duplicate, from the written ``rows`` of :func:`band_rows`."""
     classes = rows.groupBy("class").agg(F.first("bands").alias("bands"), F.min("did").alias("did"))
     banded = classes.select("class", "did", F.explode("bands").alias("bucket"))
-    least = banded.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("top")).filter("leader < top").select("bucket", "leader")
-    members = written(banded.join(written(least, "buckets"), "bucket"), "members")
+    shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = written(banded.join(shared, "bucket"), "members")
     asked = members.select("did", "class").distinct()
     texts = written(docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).join(asked, ["did", "class"]).select("class", "text"), "texts")
 
-    pairs = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    tested = written(overlap(pairs, texts), "overlaps")
-    for turn in range(rounds + 1):
-        found = components(tested.filter(F.col("overlap") >= threshold))
-        placed = members.select("class", "bucket").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two").select("bucket")
-        open_ = written(placed.join(mixed, "bucket"), "open")
-        if open_.isEmpty():
-            return found
-        if turn < rounds:
-            lot = F.struct(F.xxhash64("class", "bucket", F.lit(turn)).alias("lot"), "class", "root")
-            lead = open_.groupBy("bucket").agg(F.min(lot).alias("lead")).select("bucket", F.col("lead.class").alias("other"), F.col("lead.root").alias("other_root"))
-            fresh = open_.join(lead, "bucket")
-        else:
-            fresh = open_.join(open_.select("bucket", F.col("class").alias("other"), F.col("root").alias("other_root")), "bucket").filter("class < other")
-        fresh = fresh.filter("root <> other_root").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            tested = written(tested.unionByName(overlap(fresh, texts)), "overlaps")
-    return components(tested.filter(F.col("overlap") >= threshold))
+    # The leader of a bucket is its member that meets most others, over all its buckets.
+    known = members.groupBy("class").agg(F.sum("n").alias("meets"))
+    led = members.join(known, "class").groupBy("bucket").agg(F.max(F.struct("meets", "class")).alias("lead")).select("bucket", F.col("lead.class").alias("leader"))
+    pairs = members.join(led, "bucket").filter("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    links = written(overlap(pairs, texts).filter(F.col("overlap") >= threshold).select("a", "b"), "links")
+    found = components(links)
+
+    placed = members.select("class", "bucket").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two").select("bucket")
+    more = written(cross_links(written(placed.join(mixed, "bucket"), "open"), texts, threshold), "cross-links")
+    return found if more.isEmpty() else components(links.unionByName(more))
 
 
 def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
