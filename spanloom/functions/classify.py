@@ -1,0 +1,95 @@
+"""Classification and extraction of span attributes (a map of strings), as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Operation names of the semantic conventions and the observation types they give.
+OPERATIONS = {"chat": "generation", "completion": "generation", "text_completion": "generation", "generate_content": "generation", "embeddings": "embedding", "embedding": "embedding", "execute_tool": "tool", "create_agent": "agent", "invoke_agent": "agent"}
+#: (framework, kind, what) in order; the first that holds wins.
+FRAMEWORKS = (
+    ("strands", "prefix", "strands."), ("langgraph", "prefix", "langgraph."), ("langchain", "prefix", "langsmith."), ("crewai", "prefix", "crew_"), ("autogen", "prefix", "autogen."),
+    ("llamaindex", "prefix", "llama_index."), ("openinference", "prefix", "openinference."), ("logfire", "prefix", "logfire."), ("vercel-ai", "prefix", "ai."), ("livekit", "prefix", "lk."),
+    ("mlflow", "prefix", "mlflow."), ("traceloop", "prefix", "traceloop."), ("google-adk", "prefix", "gcp.vertex.agent."),
+)
+INPUT_TOKENS = ("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens", "llm.token_count.prompt", "ai.usage.promptTokens")
+OUTPUT_TOKENS = ("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens", "llm.token_count.completion", "ai.usage.completionTokens")
+
+
+def get(a: Column, *keys: str) -> Column:
+    """The first key that is present."""
+    return F.coalesce(*[F.try_element_at(a, F.lit(k)) for k in keys])
+
+
+def has_prefix(a: Column, prefix: str) -> Column:
+    return F.exists(F.map_keys(a), lambda k: k.startswith(prefix))
+
+
+def framework(a: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, _, what in FRAMEWORKS:
+        out = out.when(has_prefix(a, what), name)
+    return out.otherwise("unknown")
+
+
+def category(a: Column, name: Column) -> Column:
+    operation = F.lower(get(a, "gen_ai.operation.name"))
+    model = F.lower(F.coalesce(get(a, "gen_ai.request.model", "gen_ai.response.model"), F.lit("")))
+    return (
+        F.when(has_prefix(a, "http.") | has_prefix(a, "rpc."), "http")
+        .when(has_prefix(a, "db."), "db")
+        .when(has_prefix(a, "messaging."), "messaging")
+        .when(has_prefix(a, "aws.s3."), "storage")
+        .when(operation.isNotNull() & model.contains("embed"), "embedding")
+        .when(operation.isin("chat", "completion", "text_completion", "generate_content"), "llm")
+        .when(operation.isin("embeddings", "embedding"), "embedding")
+        .when(get(a, "gen_ai.tool.name").isNotNull() | (operation == "execute_tool"), "tool")
+        .when(get(a, "gen_ai.agent.name").isNotNull(), "agent")
+        .when(F.lower(name).contains("retriev"), "retriever")
+        .otherwise("other")
+    )
+
+
+def observation_type(a: Column, name: Column) -> Column:
+    operation = F.lower(get(a, "gen_ai.operation.name"))
+    by_operation = F.try_element_at(F.create_map(*[F.lit(x) for p in OPERATIONS.items() for x in p]), operation)
+    return (
+        F.when(category(a, name).isin("http", "db", "messaging", "storage"), "span")
+        .when(by_operation.isNotNull(), by_operation)
+        .when(get(a, "gen_ai.agent.name").isNotNull(), "agent")
+        .when(get(a, "gen_ai.tool.name").isNotNull(), "tool")
+        .when(F.lower(name).contains("chain"), "chain")
+        .when(get(a, "gen_ai.request.model").isNotNull(), "generation")
+        .otherwise("span")
+    )
+
+
+def tokens(a: Column) -> dict[str, Column]:
+    """The first present key decides; if it is no number, the count is 0."""
+    count = lambda keys: F.coalesce(get(a, *keys).try_cast("long"), F.lit(0).cast("long"))
+    one, two = count(INPUT_TOKENS), count(OUTPUT_TOKENS)
+    return {"input_tokens": one, "output_tokens": two, "total_tokens": F.greatest(count(("gen_ai.usage.total_tokens",)), one + two)}
+
+
+def usage_details(a: Column) -> Column:
+    known = [*INPUT_TOKENS, *OUTPUT_TOKENS, "gen_ai.usage.total_tokens"]
+    return F.to_json(F.map_filter(a, lambda k, v: k.startswith("gen_ai.usage.") & ~k.isin(known)))
+
+
+def tags(*lists: Column) -> Column:
+    """Union in order, each once; a list is JSON or separated by commas."""
+    parse = lambda c: F.coalesce(F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.transform(F.split(c, ","), lambda x: F.trim(x))), F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(*map(parse, lists)), lambda x: F.length(x) > 0))
+
+
+def exception_fields(events: Column) -> dict[str, Column]:
+    """Type and message of the first exception event (an array of name and attributes)."""
+    first = F.get(F.filter(events, lambda e: e["name"] == "exception"), 0)["attributes"]
+    return {"exception_type": F.try_element_at(first, F.lit("exception.type")), "exception_message": F.try_element_at(first, F.lit("exception.message"))}
+
+
+def preview(texts: Column, chars: int = 200) -> Column:
+    """The last non-empty text, trimmed and cut."""
+    last = F.trim(F.element_at(F.filter(texts, lambda x: F.length(F.trim(x)) > 0), -1))
+    return F.when(F.length(last) > chars, F.concat(F.substring(last, 1, chars), F.lit("..."))).otherwise(last)

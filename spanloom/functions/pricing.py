@@ -1,0 +1,32 @@
+"""Prices of model use: candidate names in order of confidence, looked up in a small price table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def candidates(system: Column, model: Column) -> Column:
+    """(name, confidence) in order; the first that has a price wins."""
+    low = F.lower(F.trim(model))
+    bare = F.regexp_replace(low, "^(us|eu|apac|global)\\.", "")
+    tail = F.element_at(F.split(bare, "/"), -1)
+    plain = F.regexp_replace(F.regexp_replace(tail, "-latest$", ""), "(@.*|-v\\d+(:\\d+)?)$", "")
+    undated = F.regexp_replace(F.regexp_replace(plain, "-\\d{4}-\\d{2}-\\d{2}$", ""), "-\\d{8}$", "")
+    pairs = [(low, 1.0), (bare, 0.95), (tail, 0.95), (F.concat(F.lower(system), F.lit("/"), tail), 0.95), (plain, 0.85), (undated, 0.70)]
+    return F.array(*[F.struct(n.alias("name"), F.lit(c).alias("confidence")) for n, c in pairs])
+
+
+def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """``rows`` (system, model, token counts) with cost and confidence; unknown models cost 0.
+
+    Each distinct model is looked up once.  The price table is joined by its own size.
+    """
+    models = rows.select("system", "model").distinct().select("system", "model", F.posexplode(candidates(F.col("system"), F.col("model"))).alias("priority", "c"))
+    usable = prices.filter("input_cost > 0 or output_cost > 0")
+    hit = models.join(usable, F.col("c.name") == F.lower(F.col("price_model"))).groupBy("system", "model").agg(F.min_by(F.struct("input_cost", "output_cost", "mode", F.col("c.confidence").alias("confidence")), F.struct("priority", "price_model")).alias("p"))
+    keys = [F.col("r.system").eqNullSafe(F.col("h.system")), F.col("r.model").eqNullSafe(F.col("h.model"))]
+    joined = rows.alias("r").join(hit.alias("h"), keys, "left")
+    out = F.when(F.col("h.p.mode") == "embedding", 0.0).otherwise(F.greatest(F.col("output_tokens"), F.lit(0)) * F.col("h.p.output_cost"))
+    cost = F.greatest(F.col("input_tokens"), F.lit(0)) * F.col("h.p.input_cost") + out
+    return joined.select("r.*", F.coalesce(cost, F.lit(0.0)).cast("decimal(18,6)").alias("cost_total"), F.coalesce(F.col("h.p.confidence"), F.lit(0.0)).alias("confidence"))
