@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bagminhash import COMPONENTS, bands, signatures
 from .bytes import counted, groups, mix, shingles, utf8, words
 from .components import components
-from .storage import small_batches, written
+from .storage import discard, small_batches, written
 
 WORDS, THRESHOLD, BLOCK, COLUMNS = 5, 0.8, 128, 8192
 _NO_ID = (1 << 63) - 1
@@ -143,7 +143,7 @@ def cross_links(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
 
 def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root) of the classes that have a near duplicate, from the written ``rows`` of :func:`band_rows`."""
+    """A written table with (id, root) of the classes that have a near duplicate, from the written ``rows`` of :func:`band_rows`."""
     classes = rows.groupBy("class").agg(F.first("bands").alias("bands"), F.min("did").alias("did"))
     banded = classes.select("class", "did", F.explode("bands").alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -158,18 +158,25 @@ def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD)
     links = written(overlap(pairs, texts).filter(F.col("overlap") >= threshold).select("a", "b"), "links")
     found = components(links)
 
-    placed = members.select("class", "bucket").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    groups_of = found.select(F.col("id").alias("class"), "root")
+    placed = members.select("class", "bucket").join(groups_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two").select("bucket")
-    more = written(cross_links(written(placed.join(mixed, "bucket"), "open"), texts, threshold), "cross-links")
-    return found if more.isEmpty() else components(links.unionByName(more))
+    open_ = written(placed.join(mixed, "bucket"), "open")
+    more = written(cross_links(open_, texts, threshold), "cross-links")
+    if not more.isEmpty():
+        discard(found)
+        found = components(links.unionByName(more))
+    discard(shared, members, texts, links, open_, more)
+    return found
 
 
 def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """did, class, root of every row, and of its root the least did and with it the least class."""
     rows = written(band_rows(docs), "bands")
     found = class_groups(docs, rows, threshold)
-    placed = rows.select("did", "class").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = rows.select("did", "class").join(found.select(F.col("id").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed = written(placed, "groups")
+    discard(rows, found)
     first = placed.groupBy("root").agg(F.min("did").alias("first_did"))
     first = placed.join(first, "root").filter("did = first_did").groupBy("root", "first_did").agg(F.min("class").alias("first_class"))
     return placed.join(written(first, "firsts"), "root")

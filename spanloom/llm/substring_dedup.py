@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes import groups, spans_hash, utf8, words
-from .storage import small_batches, written
+from .storage import discard, small_batches, written
 
 SENTENCES, MIN_WORDS, PIECE = 3, 20, 16
 _NO_ID = (1 << 63) - 1
@@ -135,9 +135,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     found = written(spans(keyed), "spans")
     firsts = found.groupBy("hash").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("first < last").select("hash", "first")
-    hits = found.join(written(firsts, "repeated"), "hash").filter("did > first")
-    places = hits.groupBy("row").agg(F.collect_set("place").alias("places"))
-    rows = without_runs(keyed.join(written(places, "places"), "row", "left").drop("did", "row"))
+    repeated = written(firsts, "repeated")
+    hits = found.join(repeated, "hash").filter("did > first")
+    places = written(hits.groupBy("row").agg(F.collect_set("place").alias("places")), "places")
+    discard(found, repeated)
+    rows = without_runs(keyed.join(places, "row", "left").drop("did", "row"))
     out = [F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
     free = lambda c: c if c not in docs.columns else f"_{c}"
     return rows.select(*out, F.col("n_sentences").alias(free("n_sentences")), F.col("n_removed").alias(free("n_removed")))
