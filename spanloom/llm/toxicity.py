@@ -4,8 +4,9 @@ A model gives each byte of a word, and the space behind it, a probability after
 of the same word.  Both models discount their own counts; what they set free goes to one shared model
 of the lower orders, interpolated Kneser-Ney on the continuation counts of both classes together, so
 a rare expression is judged by its class only as far as its class has seen it.  A text's evidence is
-the difference of the two log-likelihoods over its length, and over the length's root; a logistic
-curve on these and the length, fitted on labelled texts that the counts have not seen (fold 1), turns
+the difference of the two log-likelihoods over its length, and over the length's root; words whose own
+difference is above ``MARGIN`` count apart, so that a language that is more frequent in one class, which
+moves all words a little, does not decide.  A logistic curve on these and the length, fitted on labelled texts that the counts have not seen (fold 1), turns
 it into a score.  Letters count in lower case.
 
 The counts come from a bounded sample: ``ROWS`` ordinary and toxic texts of at most ``MAX_CHARS``
@@ -27,14 +28,14 @@ from .bytes import groups, mix
 from .bytes import utf8 as utf8_of
 from .labelled import sample, scored
 
-ORDER, DISCOUNT, ROWS, MAX_CHARS, TABLE_BITS = 4, 0.75, (16_000, 4_000), 20_000, 20
+ORDER, DISCOUNT, ROWS, MAX_CHARS, TABLE_BITS, MARGIN = 4, 0.75, (16_000, 4_000), 20_000, 20, 4.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(text, n-gram) of every byte of every word, and of the space behind it: the byte and those before it in its word, spaces before the first.
+def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, word) of every byte of every word, and of the space behind it: the byte and those before it in its word, spaces before the first.
 
     An n-gram is a number whose highest byte is the newest.
     """
@@ -55,7 +56,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.nda
         before[place < back] = 32
         code |= before << np.uint64(8 * (order - 1 - back))
     use = inside | ~fresh
-    return doc[use], code[use]
+    return doc[use], code[use], np.cumsum(fresh[use]) - 1
 
 
 def _count(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,25 +131,43 @@ def _look(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, bits: int = T
 
 
 def evidence(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each text: difference of the log-likelihoods over length and over its root, and two terms of the length."""
-    doc, code = grams(data, offsets)
+    """Of each text: difference of the log-likelihoods over its words and over their root, the same of what words have beyond MARGIN, and terms of the length."""
+    doc, code, word = grams(data, offsets)
     hit, ratio = _look(model["seen"], code)
     rest = np.flatnonzero(~hit)
     known, other = _look(model["free"], code[rest] & np.uint64((1 << 8 * (ORDER - 1)) - 1))
     ratio[rest] = np.where(known, other, 0)
     docs = len(offsets) - 1
-    total, n = np.bincount(doc, ratio.astype(float), docs), np.maximum(np.bincount(doc, minlength=docs), 1)
-    return np.stack([total / n, total / np.sqrt(n), np.log(n), 1 / np.sqrt(n), np.ones(docs)], axis=1)
+    each = np.bincount(word, ratio.astype(float))
+    doc = doc[np.flatnonzero(np.diff(word, prepend=-1))]  # of each word
+    n = np.maximum(np.bincount(doc, minlength=docs), 1)
+    total = np.bincount(doc, each, docs)
+    strong = np.bincount(doc, np.maximum(each - MARGIN, 0), docs)
+    return np.stack([total / n, total / np.sqrt(n), strong / n, strong / np.sqrt(n), np.log1p(strong), np.log(n), 1 / np.sqrt(n), np.ones(docs)], axis=1)
 
 
 def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Coefficients of a weighted logistic regression with a weak ridge, by Newton's method."""
+    """Coefficients of a weighted logistic regression with a weak ridge, by Newton's method with halved steps."""
     scale = np.maximum(np.sqrt((x * x).mean(axis=0)), 1e-9)
-    x, beta = x / scale, np.zeros(x.shape[1])
-    for _ in range(60):
+    x, ridge = x / scale, 0.05
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * beta @ beta)
+
+    beta = np.zeros(x.shape[1])
+    now = loss(beta)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        hess = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta))
-        beta -= np.clip(np.linalg.solve(hess, x.T @ (weights * (p - y)) + 1e-2 * beta), -4, 4)
+        hess = (x * (weights * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        step = np.linalg.solve(hess, x.T @ (weights * (p - y)) + ridge * beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > now:
+            size /= 2
+        beta = beta - size * step
+        before, now = now, loss(beta)
+        if before - now < 1e-8 * max(1.0, before):
+            break
     return beta / scale
 
 
