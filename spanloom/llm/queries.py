@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, html_text, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from .oracles import oracle_sql
 from .storage import documents
 
 
@@ -58,5 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
