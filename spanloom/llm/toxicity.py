@@ -29,6 +29,7 @@ from .bytes import utf8 as utf8_of
 from .labelled import sample, scored
 
 ORDER, DISCOUNT, ROWS, MAX_CHARS, TABLE_BITS, MARGIN = 4, 0.75, (16_000, 4_000), 20_000, 20, 4.0
+_PIECE = 1 << 20  # bytes that the driver counts at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
@@ -62,7 +63,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.nda
 def _count(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8_of(text)
     codes, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, j in groups(offsets):
+    for i, j in groups(offsets, _PIECE):
         c, t = np.unique(grams(data, offsets[i : j + 1])[1], return_counts=True)
         codes.append(c)
         times.append(t)
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> dict | N
     check = got.filter(pc.equal(got["fold"], 1))
     y = check["label"].to_numpy().astype(float)
     data, offsets = utf8_of(check["text"])
-    x = np.concatenate([evidence(model, data, offsets[i : j + 1]) for i, j in groups(offsets)])
+    x = np.concatenate([evidence(model, data, offsets[i : j + 1]) for i, j in groups(offsets, _PIECE)])
     weights = check["total"].to_numpy() / np.where(y == 1, y.sum(), (1 - y).sum())
     return model | {"curve": curve(x, y, weights / weights.mean())}
 
