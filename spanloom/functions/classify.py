@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Operation names of the semantic conventions and the observation types they give.
-OPERATIONS = {"chat": "generation", "completion": "generation", "text_completion": "generation", "generate_content": "generation", "embeddings": "embedding", "embedding": "embedding", "execute_tool": "tool", "create_agent": "agent", "invoke_agent": "agent"}
-#: (framework, kind, what) in order; the first that holds wins.
-FRAMEWORKS = (
-    ("strands", "prefix", "strands."), ("langgraph", "prefix", "langgraph."), ("langchain", "prefix", "langsmith."), ("crewai", "prefix", "crew_"), ("autogen", "prefix", "autogen."),
-    ("llamaindex", "prefix", "llama_index."), ("openinference", "prefix", "openinference."), ("logfire", "prefix", "logfire."), ("vercel-ai", "prefix", "ai."), ("livekit", "prefix", "lk."),
-    ("mlflow", "prefix", "mlflow."), ("traceloop", "prefix", "traceloop."), ("google-adk", "prefix", "gcp.vertex.agent."),
-)
-INPUT_TOKENS = ("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens", "llm.token_count.prompt", "ai.usage.promptTokens")
-OUTPUT_TOKENS = ("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens", "llm.token_count.completion", "ai.usage.completionTokens")
+#: Frameworks and what shows them, in order; the first that holds wins.  "name" and "prefix" are
+#: beginnings of the span name and of attribute keys, "key" an attribute, "is" its value, "service" the service
+#: name, "metadata" and "sdk" parts of the metadata and of the SDK's name.
+FRAMEWORKS: tuple[tuple[str, dict], ...] = (
+    ("AutoGen", {"name": ("autogen ", "autogen."), "prefix": ("autogen.",), "is": (("gen_ai.system", "autogen"),)}),
+    ("GoogleADK", {"prefix": ("google.adk.", "gcp.vertex.agent."), "is": (("gen_ai.system", "gcp.vertex.agent"),)}),
+    ("CrewAI", {"service": ("crewAI-telemetry",), "key": ("crewai_version", "crew_key", "crew_id", "crew_fingerprint", "task_key")}),
+    ("LangGraph", {"name": ("LangGraph",), "prefix": ("langgraph.",), "metadata": ("langgraph_",)}),
+    ("LangChain", {"prefix": ("langchain.", "langsmith.")}),
+    ("LlamaIndex", {"prefix": ("llama_index.",)}),
+    ("OpenInference", {"prefix": ("openinference.",)}),
+    ("SemanticKernel", {"prefix": ("semantic_kernel.",)}),
+    ("AzureOpenAI", {"is": (("gen_ai.system", "azure_openai"), ("gen_ai.system", "azure.openai"), ("gen_ai.provider.name", "azure_openai")), "prefix": ("azure.openai.",)}),
+    ("AzureAIFoundry", {"prefix": ("az.ai.",)}),
+    ("VertexAI", {"name": ("vertexai.",)}),
+    ("VercelAISDK", {"key": ("ai.operationId", "ai.telemetry.functionId", "ai.telemetry.metadata"), "prefix": ("ai.prompt.", "ai.completion.", "ai.settings.", "ai.telemetry.", "ai.stream.", "ai.finishReason", "ai.usage.")}),
+    ("Logfire", {"prefix": ("logfire.",), "sdk": ("logfire",)}),
+    ("MLflow", {"prefix": ("mlflow.",)}),
+    ("TraceLoop", {"prefix": ("traceloop.",), "sdk": ("traceloop",)}),
+    ("LiveKit", {"prefix": ("livekit.", "lk.")}),
+    ("OpenAIAgents", {"prefix": ("openai.agents.",), "service": ("openai-agents", "openai_agents")}),
+    ("AgentFramework", {"is": (("gen_ai.provider.name", "microsoft.agent_framework"),), "service": ("agent-framework-core",)}),
+    ("AWSBedrock", {"prefix": ("aws.bedrock.",), "is": (("gen_ai.system", "aws_bedrock"), ("gen_ai.system", "aws.bedrock"))}),
+    ("StrandsAgents", {"is": (("gen_ai.system", "strands-agents"), ("gen_ai.provider.name", "strands-agents")), "service": ("strands-agents",), "agent": "strands[ _-]agent"}),
+)
+#: Declared kinds of spans: (category, observation type).
+KINDS = {"LLM": ("llm", "generation"), "EMBEDDING": ("embedding", "embedding"), "AGENT": ("agent", "agent"), "TOOL": ("tool", "tool"), "CHAIN": ("chain", "chain"), "RETRIEVER": ("retriever", "retriever"), "GUARDRAIL": ("other", "guardrail"), "EVALUATOR": ("other", "evaluator")}
+#: Parts of span names and the observation types they give, in order.
+NAMES = (("embed", "embedding"), ("agent", "agent"), ("tool", "tool"), ("retriev", "retriever"), ("guardrail", "guardrail"), ("eval", "evaluator"))
+SESSION_KEYS = ("session.id", "langsmith.session.id", "langsmith.trace.session_id", "gcp.vertex.agent.session_id", "ai.telemetry.metadata.sessionId", "langgraph.thread_id", "mlflow.trace.session")
+USER_KEYS = ("user.id", "enduser.id", "ai.telemetry.metadata.userId", "mlflow.trace.user")
+INPUT_TOKENS = ("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens", "llm.usage.prompt_tokens", "llm.token_count.prompt", "ai.usage.promptTokens")
+OUTPUT_TOKENS = ("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens", "llm.usage.completion_tokens", "llm.token_count.completion", "ai.usage.completionTokens")
+TOTAL_TOKENS = ("gen_ai.usage.total_tokens", "llm.token_count.total")
+CACHE_READ_TOKENS = ("gen_ai.usage.cache_read_input_tokens", "gen_ai.usage.cache_read_tokens", "llm.usage.cache_read_input_tokens", "ai.usage.cachedInputTokens")
+CACHE_WRITE_TOKENS = ("gen_ai.usage.cache_creation_input_tokens", "gen_ai.usage.cache_write_input_tokens", "gen_ai.usage.cache_write_tokens", "llm.usage.cache_creation_input_tokens")
+REASONING_TOKENS = ("gen_ai.usage.output_reasoning_tokens", "gen_ai.usage.thoughts_token_count", "ai.usage.reasoningTokens")
 
 
 def get(a: Column, *keys: str) -> Column:
@@ -26,54 +53,103 @@ def has_prefix(a: Column, prefix: str) -> Column:
     return F.exists(F.map_keys(a), lambda k: k.startswith(prefix))
 
 
-def framework(a: Column) -> Column:
+def _or(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
+
+
+def framework(a: Column, name: Column | None = None, resource: Column | None = None) -> Column:
+    """The first rule that holds; ``resource`` are the attributes of the resource."""
+    name = F.lit("") if name is None else name
+    resource = F.create_map().cast("map<string,string>") if resource is None else resource
+    of = lambda m, k: F.try_element_at(m, F.lit(k))
     out = F.when(F.lit(False), "")
-    for name, _, what in FRAMEWORKS:
-        out = out.when(has_prefix(a, what), name)
-    return out.otherwise("unknown")
+    for label, rule in FRAMEWORKS:
+        holds = [name.startswith(x) for x in rule.get("name", ())] + [has_prefix(a, x) for x in rule.get("prefix", ())]
+        holds += [of(a, k).isNotNull() for k in rule.get("key", ())] + [of(a, k) == v for k, v in rule.get("is", ())]
+        holds += [of(resource, "service.name") == x for x in rule.get("service", ())] + [of(resource, "telemetry.sdk.name").contains(x) for x in rule.get("sdk", ())]
+        holds += [of(a, "metadata").contains(x) for x in rule.get("metadata", ())]
+        if "agent" in rule:
+            holds += [F.lower(x).rlike(rule["agent"]) for x in (name, of(a, "gen_ai.agent.name"))]
+        out = out.when(_or(holds), label)
+    return out.otherwise("Unknown")
+
+
+def _kind(a: Column, which: int, *keys: str) -> Column:
+    kinds = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[which])])
+    return F.coalesce(*[F.try_element_at(kinds, F.upper(get(a, k))) for k in keys])
+
+
+def _embeds(a: Column) -> Column:
+    return F.coalesce(F.lower(get(a, "gen_ai.request.model", "gen_ai.response.model")).contains("embed"), F.lit(False))
 
 
 def category(a: Column, name: Column) -> Column:
-    operation = F.lower(get(a, "gen_ai.operation.name"))
-    model = F.lower(F.coalesce(get(a, "gen_ai.request.model", "gen_ai.response.model"), F.lit("")))
+    """Calls of other services first, whatever else the span says; then operation, tool or agent, declared kind, name."""
+    operation, low = get(a, "gen_ai.operation.name"), F.lower(name)
+    chat = operation.isin("chat", "text_completion")
+    kind = _kind(a, 0, "openinference.span.kind")
     return (
-        F.when(has_prefix(a, "http.") | has_prefix(a, "rpc."), "http")
-        .when(has_prefix(a, "db."), "db")
-        .when(has_prefix(a, "messaging."), "messaging")
+        F.when(get(a, "http.method", "http.request.method", "rpc.system").isNotNull(), "http")
+        .when(get(a, "db.system").isNotNull(), "db")
+        .when(get(a, "messaging.system").isNotNull(), "messaging")
         .when(has_prefix(a, "aws.s3."), "storage")
-        .when(operation.isNotNull() & model.contains("embed"), "embedding")
-        .when(operation.isin("chat", "completion", "text_completion", "generate_content"), "llm")
-        .when(operation.isin("embeddings", "embedding"), "embedding")
-        .when(get(a, "gen_ai.tool.name").isNotNull() | (operation == "execute_tool"), "tool")
+        .when(chat & _embeds(a), "embedding")
+        .when(chat, "llm")
+        .when(operation == "embeddings", "embedding")
+        .when(operation == "execute_tool", "tool")
+        .when(operation.isin("invoke_agent", "invoke_swarm", "execute_event_loop_cycle"), "agent")
+        .when(get(a, "gen_ai.tool.name").isNotNull(), "tool")
         .when(get(a, "gen_ai.agent.name").isNotNull(), "agent")
-        .when(F.lower(name).contains("retriev"), "retriever")
+        .when(kind.isNotNull(), kind)
+        .when(low.contains("llm") | low.contains("chat"), "llm")
+        .when(low.contains("embed"), "embedding")
+        .when(low.contains("retriev"), "retriever")
         .otherwise("other")
     )
 
 
 def observation_type(a: Column, name: Column) -> Column:
-    operation = F.lower(get(a, "gen_ai.operation.name"))
-    by_operation = F.try_element_at(F.create_map(*[F.lit(x) for p in OPERATIONS.items() for x in p]), operation)
-    return (
-        F.when(category(a, name).isin("http", "db", "messaging", "storage"), "span")
-        .when(by_operation.isNotNull(), by_operation)
-        .when(get(a, "gen_ai.agent.name").isNotNull(), "agent")
-        .when(get(a, "gen_ai.tool.name").isNotNull(), "tool")
-        .when(F.lower(name).contains("chain"), "chain")
-        .when(get(a, "gen_ai.request.model").isNotNull(), "generation")
-        .otherwise("span")
+    operation, low = get(a, "gen_ai.operation.name"), F.lower(name)
+    chat = operation.isin("chat", "text_completion")
+    kind = _kind(a, 1, "openinference.span.kind", "langsmith.span.kind")
+    out = (
+        F.when(get(a, "http.method", "http.request.method", "rpc.system", "db.system").isNotNull(), "span")
+        .when(chat & _embeds(a), "embedding")
+        .when(chat, "generation")
+        .when(operation == "embeddings", "embedding")
+        .when((operation == "create_agent") & (get(a, "gen_ai.system") == "autogen"), "span")
+        .when(kind.isNotNull(), kind)
+        .when(get(a, "ai.model.id", "ai.model.provider").isNotNull(), F.when(get(a, "ai.operationId").contains("embed"), "embedding").otherwise("generation"))
+        .when(get(a, "gen_ai.agent.name", "gen_ai.agent.id").isNotNull(), "agent")
+        .when(get(a, "gen_ai.tool.name", "gen_ai.tool.call.id").isNotNull(), "tool")
     )
+    for part, what in NAMES:
+        out = out.when(low.contains(part), what)
+    return out.when(F.lower(get(a, "logfire.tags")).contains("llm") | get(a, "gen_ai.request.model", "gen_ai.response.model").isNotNull(), "generation").otherwise("span")
+
+
+def session_id(a: Column) -> Column:
+    m = get(a, "metadata")
+    return F.coalesce(get(a, *SESSION_KEYS), F.get_json_object(m, "$.thread_id"), F.get_json_object(m, "$.langgraph_thread_id"))
+
+
+def user_id(a: Column) -> Column:
+    return F.coalesce(get(a, *USER_KEYS), F.get_json_object(get(a, "metadata"), "$.user_id"))
 
 
 def tokens(a: Column) -> dict[str, Column]:
     """The first present key decides; if it is no number, the count is 0."""
     count = lambda keys: F.coalesce(get(a, *keys).try_cast("long"), F.lit(0).cast("long"))
     one, two = count(INPUT_TOKENS), count(OUTPUT_TOKENS)
-    return {"input_tokens": one, "output_tokens": two, "total_tokens": F.greatest(count(("gen_ai.usage.total_tokens",)), one + two)}
+    more = {"cache_read_tokens": count(CACHE_READ_TOKENS), "cache_write_tokens": count(CACHE_WRITE_TOKENS), "reasoning_tokens": count(REASONING_TOKENS)}
+    return {"input_tokens": one, "output_tokens": two, "total_tokens": F.greatest(count(TOTAL_TOKENS), one + two)} | more
 
 
 def usage_details(a: Column) -> Column:
-    known = [*INPUT_TOKENS, *OUTPUT_TOKENS, "gen_ai.usage.total_tokens"]
+    known = [*INPUT_TOKENS, *OUTPUT_TOKENS, *TOTAL_TOKENS, *CACHE_READ_TOKENS, *CACHE_WRITE_TOKENS, *REASONING_TOKENS]
     return F.to_json(F.map_filter(a, lambda k, v: k.startswith("gen_ai.usage.") & ~k.isin(known)))
 
 

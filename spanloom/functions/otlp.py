@@ -65,4 +65,4 @@ def enriched(rows: DataFrame) -> DataFrame:
     from . import classify as c
 
     a, name = F.col("attributes"), F.col("span_name")
-    return rows.withColumns({"framework": c.framework(a), "category": c.category(a, name), "observation_type": c.observation_type(a, name), "session_id": c.get(a, "session.id", "gen_ai.conversation.id"), "user_id": c.get(a, "user.id", "enduser.id"), "gen_ai_request_model": c.get(a, "gen_ai.request.model", "llm.model_name"), **c.tokens(a), **c.exception_fields(F.col("events"))})
+    return rows.withColumns({"framework": c.framework(a, name, F.col("resource")), "category": c.category(a, name), "observation_type": c.observation_type(a, name), "session_id": c.session_id(a), "user_id": c.user_id(a), "gen_ai_request_model": c.get(a, "gen_ai.request.model", "llm.model_name"), **c.tokens(a), **c.exception_fields(F.col("events"))})

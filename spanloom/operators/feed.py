@@ -66,6 +66,148 @@ def leaf_errors(spans: DataFrame) -> DataFrame:
     return leaf.select("trace_id", "span_id", F.concat_ws(": ", F.lit("Error"), "span_name").alias("text"))
 
 
+#: Events that bring output and input of a model, and attributes of each direction.
+OUTPUT_EVENTS = ("gen_ai.choice", "gen_ai.content.completion")
+INPUT_EVENTS = ("gen_ai.user.message", "gen_ai.assistant.message", "gen_ai.system.message", "gen_ai.tool.message", "gen_ai.content.prompt")
+INPUT_SOURCES = (
+    "input.value", "gcp.vertex.agent.llm_request", "gcp.vertex.agent.data", "ai.prompt", "lk.input_text", "lk.user_input", "lk.instructions", "lk.chat_ctx", "mlflow.spanInputs", "traceloop.entity.input",
+    "pydantic_ai.all_messages", "request_data",
+)
+INPUT_PREFIXES = ("llm.input_messages", "gen_ai.input.", "gen_ai.prompt.")
+OUTPUT_SOURCES = ("output.value", "gcp.vertex.agent.llm_response", "mlflow.spanOutputs", "traceloop.entity.output", "response_data")
+OUTPUT_PREFIXES = ("llm.output_messages", "gen_ai.output.", "gen_ai.completion.", "ai.result.", "lk.response.")
+#: What each sign of a better copy of a block adds to its quality.
+QUALITY = {"fresh": 100, "finish": 10, "enrichment": 5, "output": 4, "tool_span": 3, "event": 2, "model": 1}
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
+
+
+def sourced(rows: DataFrame) -> DataFrame:
+    """Flags by where a block comes from: ``source`` is the name of its event or attribute, ``from_event`` tells which."""
+    s, event = F.col("source"), F.col("from_event")
+    out_event, in_event = event & s.isin(*OUTPUT_EVENTS), event & s.isin(*INPUT_EVENTS)
+    return rows.withColumns(
+        {
+            "output_event": out_event,
+            "input_event": in_event,
+            "input_source": in_event | (~event & _any([s.isin(*INPUT_SOURCES), *[s.startswith(p) for p in INPUT_PREFIXES]])),
+            "output_source": out_event | (~event & _any([s.isin(*OUTPUT_SOURCES), *[s.startswith(p) for p in OUTPUT_PREFIXES]])),
+            "protected": out_event | F.col("finish_reason").isNotNull() | F.coalesce(F.col("category") == "GenAIChoice", F.lit(False)),
+        }
+    )
+
+
+def marked_history(rows: DataFrame) -> DataFrame:
+    """Marks what a span repeats of earlier turns: one pass of windows by trace, then one condition for each rule.
+
+    ``rows``: output of ``sourced`` with trace_id, span_id, parent_span_id, observation_type, role, kind, tool_id,
+    time, span_start.  No protected block is ever history.  Adds ``history_rule``, the first rule that holds, and
+    ``is_history``.  A trace is the unit: its flags are windows over it, and current tool calls are a set by trace.
+    """
+    trace = Window.partitionBy("project_id", "trace_id")
+    generation, root = F.coalesce(F.col("observation_type") == "generation", F.lit(False)), F.col("parent_span_id").isNull()
+    kind, agent = F.col("kind"), F.coalesce(F.col("observation_type") == "agent", F.lit(False))
+    over = lambda c: F.max(F.coalesce(c, F.lit(False))).over(trace)
+    flags = rows.withColumns({"_agents": over(agent), "_events": over(F.col("output_event") | F.col("input_event")), "_results": over(generation & (kind == "tool_result"))})
+    # the calls that protected blocks make: a join by (trace, id) instead of a set of ids on every row of a trace
+    calls = rows.filter((kind == "tool_use") & F.col("protected") & F.col("tool_id").isNotNull()).select("project_id", "trace_id", F.col("tool_id").alias("_call")).distinct()
+    keys = [F.col("r.project_id").eqNullSafe(F.col("c.project_id")), F.col("r.trace_id") == F.col("c.trace_id"), F.col("r.tool_id") == F.col("c._call")]
+    joined = flags.alias("r").join(calls.alias("c"), keys, "left").select("r.*", F.col("c._call").isNotNull().alias("_current"))
+    turns = F.col("_agents") & F.col("_events") & F.col("_results")
+    inner = generation & ~root
+    rule = (
+        F.when(F.col("protected"), None)
+        .when(inner & (F.col("time") < F.col("span_start")), "timestamp")
+        .when((kind != "tool_result") & (F.col("observation_type") == "chain") & (kind == "json"), "accumulator")
+        .when((kind != "tool_result") & ~root & F.col("observation_type").isin("agent", "chain", "span") & F.col("input_event"), "accumulator")
+        .when(F.col("_agents") & F.col("_events") & inner & (F.col("role").isin("user", "system") | ((F.col("role") == "assistant") & kind.isin("text", "thinking"))), "intermediate")
+        .when(inner & (F.col("role") == "assistant") & ~F.col("from_event") & F.col("input_source"), "input_assistant")
+        .when(turns & generation, "multi_turn")
+        .when(turns & (kind == "tool_result") & F.col("tool_id").isNotNull() & ~F.col("_current"), "orphan_result")
+    )
+    return joined.withColumn("history_rule", rule).withColumn("is_history", F.col("history_rule").isNotNull()).drop("_agents", "_events", "_results", "_current")
+
+
+def identity(rows: DataFrame) -> Column:
+    """What makes two blocks of a trace the same: calls by name and input, results by call, others by role and content."""
+    kind, content = F.col("kind"), F.col("content_hash")
+    result = F.when(F.length("tool_id") > 0, F.concat(F.lit("i:"), "tool_id")).otherwise(F.concat(F.lit("c:"), content))
+    return F.when(kind == "tool_use", F.concat_ws("\u0001", F.lit("call"), F.col("tool_name"), content)).when(kind == "tool_result", F.concat_ws("\u0001", F.lit("result"), result)).otherwise(F.concat_ws("\u0001", F.lit("block"), F.col("role"), content))
+
+
+def quality(rows: DataFrame) -> Column:
+    """Score of a copy of a block; columns that are missing add nothing."""
+    signs = {
+        "fresh": ~F.col("is_history"),
+        "finish": F.col("finish_reason").isNotNull(),
+        "enrichment": F.col("kind").isin("thinking", "redacted_thinking", "refusal"),
+        "output": F.col("output_source"),
+        "tool_span": (F.col("kind") == "tool_result") & (F.col("observation_type") == "tool"),
+        "event": F.col("from_event"),
+        "model": F.col("model").isNotNull(),
+    }
+    out = F.lit(0)
+    for name, holds in signs.items():
+        out = out + F.when(holds, QUALITY[name]).otherwise(0)
+    return out
+
+
+def effective_time(rows: DataFrame) -> Column:
+    """When a block took effect: completions at the end of their span, others not before its start."""
+    done = (F.col("kind") != "tool_use") & (F.col("protected") | ((F.col("kind") == "tool_result") & (F.col("observation_type") == "tool")) | ((F.col("kind") == "json") & F.col("output_source")))
+    return F.when(done, F.greatest(F.coalesce("span_end", "time"), F.col("time"))).otherwise(F.greatest("time", "span_start"))
+
+
+def feed(rows: DataFrame) -> DataFrame:
+    """The conversation of each trace: history marked, one copy of each identity, in total order."""
+    marked = marked_history(rows if "protected" in rows.columns else sourced(rows))
+    scored = marked.withColumns({"identity": identity(marked), "quality": quality(marked), "birth_time": effective_time(marked)})
+    same = Window.partitionBy("project_id", "trace_id", "identity")
+    fresh = scored.filter(~F.col("is_history"))  # an identity that is only history has no row
+    best = same.orderBy(F.col("quality").desc(), "birth_time", "span_id", "message_index", "entry_index")
+    return fresh.withColumn("_nth", F.row_number().over(best)).filter("_nth = 1").drop("_nth")
+
+
+def project_feed(rows: DataFrame, limit: int) -> DataFrame:
+    """Blocks of the newest groups (session, else trace) first; inside a group in order of the conversation."""
+    group = F.coalesce("session_id", "trace_id")
+    latest = F.max("birth_time").over(Window.partitionBy("project_id", "_group"))
+    ranked = rows.withColumn("_group", group).withColumn("_latest", latest)
+    return ranked.orderBy(F.col("_latest").desc(), "_group", *ORDER).limit(limit).drop("_group", "_latest")
+
+
+def totals(blocks_of: DataFrame, spans: DataFrame) -> DataFrame:
+    """Tokens and cost of the spans that have a block in the feed, each span once."""
+    keys = ["project_id", "trace_id", "span_id"]
+    used = spans.join(blocks_of.select(*keys).distinct(), keys, "left_semi")
+    return used.groupBy("project_id").agg(F.sum("input_tokens").cast("long").alias("input_tokens"), F.sum("output_tokens").cast("long").alias("output_tokens"), F.sum("cost_total").cast("double").alias("total_cost"))
+
+
+def span_paths(spans: DataFrame, depth: int = 256) -> DataFrame:
+    """Names from the root to each span of its trace; a cycle or a missing parent ends the path.
+
+    Parent links are followed inside one trace, with arrays of one trace in a row: nothing is joined repeatedly.
+    """
+    links = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("span_id", F.struct("parent_span_id", "span_name")))))
+    by_trace = spans.select("project_id", "trace_id", "span_id", "parent_span_id", "span_name").dropDuplicates(["project_id", "trace_id", "span_id"]).groupBy("project_id", "trace_id").agg(links.alias("links"))
+    rows = by_trace.select("project_id", "trace_id", "links", F.explode(F.map_keys("links")).alias("span_id"))
+    start = F.struct(F.array("span_id").alias("seen"), F.array(F.try_element_at("links", F.col("span_id"))["span_name"]).alias("path"), F.try_element_at("links", F.col("span_id"))["parent_span_id"].alias("up"))
+
+    def step(state: Column, _: Column) -> Column:
+        node = F.try_element_at(F.col("links"), state["up"])
+        go = node.isNotNull() & ~F.array_contains(state["seen"], state["up"])
+        onward = F.struct(F.concat(F.array(state["up"]), state["seen"]).alias("seen"), F.concat(F.array(node["span_name"]), state["path"]).alias("path"), node["parent_span_id"].alias("up"))
+        return F.when(F.coalesce(go, F.lit(False)), onward).otherwise(F.struct(state["seen"].alias("seen"), state["path"].alias("path"), F.lit(None).cast("string").alias("up")))
+
+    steps = F.sequence(F.lit(1), F.least(F.size("links"), F.lit(depth)))
+    return rows.select("project_id", "trace_id", "span_id", F.aggregate(steps, start, step, lambda s: s["path"]).alias("path"))
+
+
 def prefix_history(rows: DataFrame) -> DataFrame:
     """Marks blocks of a session's later traces that replay earlier ones, in order.
 

@@ -9,7 +9,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, pricing
+from ..functions import classify, otlp, pricing
+from ..functions import messages as ms
 from ..operators import feed as fd
 from ..operators import filters as fl
 from ..operators import spans as sp
@@ -418,12 +419,12 @@ def classify_observation(spark, sf):
     return _attributes(spark, sf).select("event_id", classify.observation_type(F.col("a"), F.col("event_type")).alias("observation_type"))
 
 
-@query("select event_id, case event_type when 'signup' then 'langchain' when 'view' then 'langgraph' else 'unknown' end framework from events")
+@query("select event_id, case event_type when 'signup' then 'LangChain' when 'view' then 'LangGraph' else 'Unknown' end framework from events")
 def detect_framework(spark, sf):
     return _attributes(spark, sf).select("event_id", classify.framework(F.col("a")).alias("framework"))
 
 
-@query("select event_id, case event_type when 'purchase' then cast(floor(value) as bigint) else 0 end input_tokens, case event_type when 'view' then cast(floor(value) as bigint) else 0 end output_tokens, case when event_type in ('purchase', 'view') then cast(floor(value) as bigint) else 0 end total_tokens from events")
+@query("select event_id, case event_type when 'purchase' then cast(floor(value) as bigint) else 0 end input_tokens, case event_type when 'view' then cast(floor(value) as bigint) else 0 end output_tokens, case when event_type in ('purchase', 'view') then cast(floor(value) as bigint) else 0 end total_tokens, 0::bigint cache_read_tokens, 0::bigint cache_write_tokens, 0::bigint reasoning_tokens from events")
 def extract_tokens(spark, sf):
     return _attributes(spark, sf).select("event_id", *[c.alias(n) for n, c in classify.tokens(F.col("a")).items()])
 
@@ -528,3 +529,136 @@ def feed_prefix(spark, sf):
 def tool_merge(spark, sf):
     tools = table(spark, sf, "events").select(F.concat(F.lit("tool-"), (F.col("event_id") % 7).cast("string")).alias("name"), F.col("event_type").alias("description"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("parameters"))
     return fd.merged_tools(tools)
+
+
+def _history_blocks(spark, sf) -> DataFrame:
+    """A block for each span, with sources, kinds and tool calls from the columns of the order lines."""
+    n, m = F.col("tb2") % 6, F.col("tb1") % 5
+    source = F.when(n == 0, "gen_ai.choice").when(n == 1, "gen_ai.user.message").when(n == 2, "gen_ai.tool.message").when(n == 3, "llm.input_messages.0").when(n == 4, "llm.output_messages.0").otherwise("input.value")
+    kind = F.when(m == 0, "tool_use").when(m == 1, "tool_result").when(m == 2, "json").when(m == 3, "thinking").otherwise("text")
+    start = F.col("timestamp_start")
+    rows = first_rows(spans(spark, sf)).withColumns(
+        {
+            "source": source, "from_event": n < 3, "kind": kind, "role": F.when(n.isin(1, 5), "user").when(n == 2, "tool").otherwise("assistant"), "finish_reason": F.when(F.col("tb1") % 11 == 0, "stop"), "category": F.lit(None).cast("string"),
+            "tool_id": F.when(m < 2, F.concat(F.lit("call-"), (F.col("tb4").cast("int") % 2).cast("string"))), "tool_name": F.when(m == 0, "f"), "content_hash": (F.col("tb2") % 4).cast("string"), "model": F.col("gen_ai_request_model"),
+            "time": F.when(F.col("tb1") % 3 == 0, start - F.expr("interval 1 day")).otherwise(start), "span_start": start, "span_end": F.col("timestamp_end"), "message_index": F.lit(0), "entry_index": F.lit(0),
+        }
+    )
+    return fd.sourced(rows)
+
+
+_RULES = f"""{D}, b as (select *, tb2 % 6 n, tb1 % 5 m, case when tb2 % 6 in (1, 5) then 'user' when tb2 % 6 = 2 then 'tool' else 'assistant' end as role,
+  case tb1 % 5 when 0 then 'tool_use' when 1 then 'tool_result' when 2 then 'json' when 3 then 'thinking' else 'text' end kind, case when tb1 % 5 < 2 then 'call-' || (cast(floor(tb4) as int) % 2) end tool_id,
+  cast(tb2 % 4 as varchar) content, case when tb1 % 3 = 0 then timestamp_start - interval 1 day else timestamp_start end as seen_at, (tb2 % 6 = 0 or tb1 % 11 = 0) protected from d),
+ f as (select *, coalesce(observation_type = 'generation', false) gen, bool_or(coalesce(observation_type = 'agent', false)) over t agents, bool_or(n < 3) over t events,
+  bool_or(coalesce(observation_type = 'generation', false) and kind = 'tool_result') over t results from b window t as (partition by project_id, trace_id)),
+ r as (select *, case when protected then null when gen and parent_span_id is not null and seen_at < timestamp_start then 'timestamp'
+  when parent_span_id is not null and kind <> 'tool_result' and observation_type in ('agent', 'span') and n in (1, 2) then 'accumulator'
+  when agents and events and gen and parent_span_id is not null and (role = 'user' or (role = 'assistant' and kind in ('text', 'thinking'))) then 'intermediate'
+  when gen and parent_span_id is not null and role = 'assistant' and n = 3 then 'input_assistant' when agents and events and results and gen then 'multi_turn'
+  when agents and events and results and kind = 'tool_result' and not exists (select 1 from f c where c.project_id = f.project_id and c.trace_id = f.trace_id and c.tool_id = f.tool_id and c.kind = 'tool_use' and c.protected) then 'orphan_result' end history_rule from f)"""
+
+
+@query(f"{_RULES} select project_id, trace_id, span_id, kind, history_rule from r")
+def feed_history_rules(spark, sf):
+    return fd.marked_history(_history_blocks(spark, sf)).select("project_id", "trace_id", "span_id", "kind", "history_rule")
+
+
+_CONVERSATION = f"""{_RULES}, q as (select *, case kind when 'tool_use' then 'call' || content when 'tool_result' then 'result' || tool_id else role || content end ident,
+  100 + case when tb1 % 11 = 0 then 10 else 0 end + case when kind = 'thinking' then 5 else 0 end + case when n in (0, 4) then 4 else 0 end + case when n < 3 then 2 else 0 end + 1 quality,
+  case when kind <> 'tool_use' and (protected or (kind = 'json' and n in (0, 4))) then greatest(coalesce(timestamp_end, seen_at), seen_at) else greatest(seen_at, timestamp_start) end birth_time from r where history_rule is null),
+ k as (select * from (select *, row_number() over (partition by project_id, trace_id, kind in ('tool_use', 'tool_result'), ident order by quality desc, birth_time, span_id) nth from q) where nth = 1)"""
+
+
+@query(f"{_CONVERSATION} select project_id, trace_id, span_id, kind, quality, birth_time from k")
+def feed_conversation(spark, sf):
+    return fd.feed(_history_blocks(spark, sf)).select("project_id", "trace_id", "span_id", "kind", "quality", "birth_time")
+
+
+@query(f"{_CONVERSATION}, g as (select *, coalesce(session_id, trace_id) grp, max(birth_time) over (partition by project_id, coalesce(session_id, trace_id)) latest from k where project_id = 'p1' order by latest desc, grp, birth_time, span_id limit 200) select trace_id, span_id, kind, birth_time from g")
+def feed_project(spark, sf):
+    return fd.project_feed(fd.feed(_history_blocks(spark, sf)).filter("project_id = 'p1'"), 200).select("trace_id", "span_id", "kind", "birth_time")
+
+
+@query(f"{_CONVERSATION} select project_id, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens, cast(sum(cost_total) as double) total_cost from k group by 1")
+def feed_totals(spark, sf):
+    rows = _history_blocks(spark, sf)
+    return fd.totals(fd.feed(rows), rows)
+
+
+@query(f"""{D.replace('with ', 'with recursive ', 1)}, p as (select project_id, trace_id, span_id, span_name as path, 1 as depth from d where parent_span_id is null or not exists (select 1 from d u where u.project_id = d.project_id and u.trace_id = d.trace_id and u.span_id = d.parent_span_id)
+ union all select d.project_id, d.trace_id, d.span_id, p.path || '/' || d.span_name, p.depth + 1 from d join p on d.project_id = p.project_id and d.trace_id = p.trace_id and d.parent_span_id = p.span_id) select project_id, trace_id, span_id, path from p""")
+def span_paths(spark, sf):
+    return fd.span_paths(first_rows(spans(spark, sf))).withColumn("path", F.array_join("path", "/"))
+
+
+def _message_spans(spark, sf) -> DataFrame:
+    """Conversations as spans of several dialects: the dialect and the place of the text change with the turn."""
+    c = table(spark, sf, "conversations").filter("text <> ''")
+    n, text = F.col("turn") % 5, F.to_json(F.struct(F.col("role"), F.col("text").alias("content")))
+    both = lambda *pairs: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs]))
+    a = (
+        F.when(n == 0, both(("gen_ai.prompt.0.role", F.col("role")), ("gen_ai.prompt.0.content", F.col("text"))))
+        .when(n == 1, both(("gen_ai.input.messages", F.concat(F.lit("["), text, F.lit("]")))))
+        .when(n == 2, both(("llm.input_messages.0.message.role", F.col("role")), ("llm.input_messages.0.message.content", F.col("text"))))
+        .when(n == 3, both(("tool_arguments", F.lit("{}")), ("tool_response", F.col("text"))))
+        .otherwise(both(("http.method", F.lit("GET"))))
+    )
+    return c.withColumns({"attributes": a, "span_name": F.lit("chat"), "events": F.array().cast("array<struct<name: string, attributes: map<string, string>>>")})
+
+
+@query("select conv_id, turn, case turn % 5 when 0 then 'gen_ai_indexed' when 1 then 'otel_genai_messages' when 2 then 'openinference' when 3 then 'pydantic_ai' end dialect, case turn % 5 when 3 then 2 when 4 then 0 else 1 end n_messages from conversations where text <> ''")
+def message_dialects(spark, sf):
+    rows = _message_spans(spark, sf).withColumn("x", ms.extracted(F.col("attributes"), F.col("span_name"), F.col("events")))
+    return rows.select("conv_id", "turn", F.col("x.dialect").alias("dialect"), F.size("x.messages").alias("n_messages"))
+
+
+@query("select conv_id, turn, role, text from conversations where text <> '' and turn % 5 < 3")
+def message_array_expand(spark, sf):
+    rows = _message_spans(spark, sf).filter("turn % 5 < 3").select("conv_id", "turn", F.explode(ms.extracted(F.col("attributes"), F.col("span_name"), F.col("events"))["messages"]).alias("m"))
+    one = rows.select("conv_id", "turn", F.explode(ms.expand(F.col("m.source"), F.col("m.content"))).alias("m"))
+    return one.select("conv_id", "turn", F.get_json_object("m", "$.role").alias("role"), F.get_json_object("m", "$.content").alias("text"))
+
+
+@query("""select event_id, case event_type when 'click' then 'GenAIChoice' when 'view' then 'GenAIToolInput' when 'purchase' then 'Retrieval' when 'error' then 'GenAIUserMessage' else 'GenAIContext' end category,
+ case event_type when 'click' then 'assistant' when 'view' then 'tool' when 'purchase' then 'documents' when 'error' then 'user' else 'context' end as role from events""")
+def message_category(spark, sf):
+    t = F.col("event_type")
+    source = F.when(t == "click", "gen_ai.choice").when(t == "view", "gen_ai.tool.message").when(t == "error", "gen_ai.content.prompt").otherwise("attribute")
+    own = F.when(t == "purchase", "documents").when(t.isin("click", "view", "error"), F.lit(None)).otherwise("context")
+    rows = table(spark, sf, "events").withColumns({"source": source, "event": t.isin("click", "view", "error"), "own": own, "content": F.when(t == "view", '{"tool_calls": []}').otherwise("{}")})
+    said = ms.role(F.col("source"), F.col("event"), F.col("own"), F.lit(False))
+    return rows.select("event_id", ms.category(F.col("source"), F.col("event"), said, F.col("content")).alias("category"), said.alias("role"))
+
+
+_POINT = """'{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"m","KIND":{"dataPoints":[{"timeUnixNano":"1700000000000000000",BODY}]}}]}]}]}'"""
+
+
+def _points(spark, sf, kind: str, body: str) -> DataFrame:
+    text = F.format_string(_POINT.strip("'").replace("KIND", kind).replace("BODY", body), F.col("event_id"), F.col("user_id"))
+    return otlp.metrics(table(spark, sf, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"), F.from_json(text, otlp.METRICS_REQUEST)["resourceMetrics"].alias("resourceMetrics")))
+
+
+@query("select 'p' || (user_id % 3) project_id, 'sum' metric_type, cast(sum(event_id) as bigint) total, cast(sum(user_id + 0.5) as double) half from events group by 1 union all select 'p' || (user_id % 3) project_id, 'gauge', cast(sum(event_id) as bigint), cast(sum(user_id + 0.5) as double) from events group by 1")
+def metrics_gauge_sum(spark, sf):
+    body = '"asInt":"%d","asDouble":%d.5'
+    rows = _points(spark, sf, "sum", body).unionByName(_points(spark, sf, "gauge", body))
+    return rows.groupBy("project_id", "metric_type").agg(F.sum("value_int").alias("total"), F.sum("value_double").alias("half"))
+
+
+@query("select 'p' || (user_id % 3) project_id, cast(sum(event_id) as bigint) n, cast(sum(user_id) as double) total, cast(sum(user_id) as bigint) last_bucket from events group by 1")
+def metrics_histogram(spark, sf):
+    rows = _points(spark, sf, "histogram", '"count":"%1$d","sum":%2$d,"bucketCounts":["1","%2$d"],"explicitBounds":[1.0]')
+    return rows.groupBy("project_id").agg(F.sum("count").cast("long").alias("n"), F.sum("sum").alias("total"), F.sum(F.element_at("bucket_counts", -1).try_cast("long")).alias("last_bucket"))
+
+
+@query("select 'p' || (user_id % 3) project_id, cast(sum(event_id) as bigint) n, cast(sum(user_id) as bigint) zeros from events group by 1")
+def metrics_exp_histogram(spark, sf):
+    rows = _points(spark, sf, "exponentialHistogram", '"count":"%1$d","scale":2,"zeroCount":"%2$d"').filter("scale = 2")
+    return rows.groupBy("project_id").agg(F.sum("count").cast("long").alias("n"), F.sum("zero_count").cast("long").alias("zeros"))
+
+
+@query("select 'p' || (user_id % 3) project_id, cast(sum(event_id) as bigint) n, cast(sum(user_id) as double) median from events group by 1")
+def metrics_summary(spark, sf):
+    rows = _points(spark, sf, "summary", '"count":"%1$d","quantileValues":[{"quantile":0.5,"value":%2$d}]')
+    return rows.groupBy("project_id").agg(F.sum("count").cast("long").alias("n"), F.sum(F.get("quantiles", 0)["value"]).alias("median"))

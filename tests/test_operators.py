@@ -149,4 +149,4 @@ def test_normalized_and_blobs(spark):
 def test_preview_and_framework(spark):
     df = spark.sql("select map('crew_key', 'x') a, array('one', ' ', repeat('y', 300)) t")
     row = df.select(classify.framework(F.col("a")).alias("f"), classify.preview(F.col("t")).alias("p")).first()
-    assert (row.f, len(row.p)) == ("crewai", 203)
+    assert (row.f, len(row.p)) == ("CrewAI", 203)
