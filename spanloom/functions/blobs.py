@@ -23,3 +23,13 @@ def replaced(column: Column) -> Column:
 
 def orphans(files: DataFrame, references: DataFrame) -> DataFrame:
     return files.join(references.select("hash").distinct(), "hash", "left_anti")
+
+
+def reference_counts(references: DataFrame) -> DataFrame:
+    """Traces that hold each file; a file whose last trace is deleted is an orphan."""
+    return references.groupBy("project_id", "hash").agg(F.count_distinct("trace_id").alias("ref_count"))
+
+
+def usage(files: DataFrame) -> DataFrame:
+    """Files and bytes of each project, for quotas."""
+    return files.groupBy("project_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

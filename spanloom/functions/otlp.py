@@ -66,3 +66,11 @@ def enriched(rows: DataFrame) -> DataFrame:
 
     a, name = F.col("attributes"), F.col("span_name")
     return rows.withColumns({"framework": c.framework(a, name, F.col("resource")), "category": c.category(a, name), "observation_type": c.observation_type(a, name), "session_id": c.session_id(a), "user_id": c.user_id(a), "gen_ai_request_model": c.get(a, "gen_ai.request.model", "llm.model_name"), **c.tokens(a), **c.exception_fields(F.col("events"))})
+
+
+def with_messages(rows: DataFrame) -> DataFrame:
+    """Raw messages, tool definitions and previews of each span.  Only here does a row leave the JVM, once."""
+    from . import messages as m
+
+    found = rows.withColumn("_found", m.extracted(F.col("attributes"), F.col("span_name"), F.col("events")))
+    return found.withColumns({c: F.col(f"_found.{c}") for c in ("dialect", "messages", "tools", "tool_names", "input_preview", "output_preview")}).drop("_found")

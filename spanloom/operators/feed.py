@@ -211,33 +211,42 @@ def span_paths(spans: DataFrame, depth: int = 256) -> DataFrame:
 def prefix_history(rows: DataFrame) -> DataFrame:
     """Marks blocks of a session's later traces that replay earlier ones, in order.
 
-    ``rows``: session_id, trace_id, trace_start, message_index, role, content_hash.  Sequential by
-    nature: each trace is matched against what the earlier ones added, so a session is the unit.
+    ``rows``: session_id, trace_id, span_id, trace_start, message_index, role, content_hash.  Sequential by
+    nature: each span is matched against what the earlier traces added, so a session is the unit; only hashes
+    travel, and a block is found by bisection.  System blocks neither match nor end a match.
     """
+    from bisect import bisect_left
+
     import pandas as pd
 
     def mark(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["trace_start", "trace_id", "message_index"], kind="stable")
-        seen: list[tuple[str, str]] = []
-        marks: list[bool] = []
+        session = session.sort_values(["trace_start", "trace_id", "span_id", "message_index"], kind="stable")
+        places: dict[tuple[str, str], list[int]] = {}  # where a block was said before, ascending
+        said, marks = 0, []
         for _, trace in session.groupby(["trace_start", "trace_id"], sort=False):
-            at, matching = 0, True
-            fresh = []
-            for r, h in zip(trace["role"], trace["content_hash"], strict=True):
+            fresh: dict[tuple[str, str], None] = {}
+            at, matching, span = 0, True, None
+            for s, r, h in zip(trace["span_id"], trace["role"], trace["content_hash"], strict=True):
+                if s != span:
+                    at, matching, span = 0, True, s
                 hit = None
                 if matching and r != "system":
-                    hit = next((k for k in range(at, len(seen)) if seen[k] == (r, h)), None)
+                    before = places.get((r, h), [])
+                    k = bisect_left(before, at)
+                    hit = before[k] if k < len(before) else None
                     matching = hit is not None
+                marks.append(hit is not None)
                 if hit is not None:
                     at = hit + 1
-                marks.append(hit is not None)
-                if hit is None:
-                    fresh.append((r, h))
-            seen += fresh
+                elif r != "system":
+                    fresh[(r, h)] = None
+            for block in fresh:  # a trace that only replays adds nothing
+                places.setdefault(block, []).append(said)
+                said += 1
         return session.assign(is_history=marks)
 
-    schema = "session_id string, trace_id string, trace_start timestamp, message_index long, role string, content_hash string, is_history boolean"
-    return rows.select("session_id", "trace_id", F.col("trace_start").cast("timestamp"), F.col("message_index").cast("long"), "role", "content_hash").groupBy("session_id").applyInPandas(mark, schema)
+    schema = "session_id string, trace_id string, span_id string, trace_start timestamp, message_index long, role string, content_hash string, is_history boolean"
+    return rows.select("session_id", "trace_id", "span_id", F.col("trace_start").cast("timestamp"), F.col("message_index").cast("long"), "role", "content_hash").groupBy("session_id").applyInPandas(mark, schema)
 
 
 def merged_tools(tools: DataFrame) -> DataFrame:
@@ -246,3 +255,21 @@ def merged_tools(tools: DataFrame) -> DataFrame:
     rows = tools.withColumn("quality", score)
     best = F.struct(F.col("quality"), F.coalesce("parameters", F.lit("")).alias("p"), F.coalesce("description", F.lit("")).alias("d"))
     return rows.groupBy("name").agg(F.max_by("parameters", best).alias("parameters"), F.coalesce(F.max_by("description", F.when(F.length("description") > 0, best)), F.lit("")).alias("description")).orderBy("name")
+
+
+def merged_definitions(tools: DataFrame, definition: str = "definition") -> DataFrame:
+    """One full definition for each tool name.  Equal definitions are one row before the merge, and a name with
+    many different ones is merged in parts first, so no task holds them all."""
+    import json
+
+    import pandas as pd
+
+    from ..functions.messages import merged_tool, named_tools
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one = merged_tool([json.loads(x) for x in rows["definition"]])
+        return pd.DataFrame({"name": [key[0]], "definition": [json.dumps(one, sort_keys=True)]})
+
+    each = tools.select(F.explode(named_tools(F.col(definition))).alias("t")).select("t.name", "t.definition").distinct()
+    parts = each.withColumn("part", F.pmod(F.xxhash64("definition"), F.lit(64))).groupBy("name", "part").applyInPandas(merge, "name string, definition string")
+    return parts.groupBy("name").applyInPandas(merge, "name string, definition string")

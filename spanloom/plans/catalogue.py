@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, otlp, pricing
+from ..functions import blobs, classify, otlp, pricing
 from ..functions import messages as ms
 from ..operators import feed as fd
 from ..operators import filters as fl
@@ -19,6 +19,7 @@ from ..operators import traces as tr
 from ..operators.dedup import first_rows, unique_spans
 from ..operators.tokens import token_roots
 from ..sources.store import SPANS_SQL, spans, table
+from ..streaming.ingest import rate_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,18 +442,19 @@ def exception_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in fields.items()])
 
 
-_PRICES = "select * from values ('model-0', 1e-6, 2e-6, 'chat'), ('model-1', 3e-6, 6e-6, 'chat'), ('acme/model-2', 1e-6, 1e-6, 'chat'), ('model-3', 5e-6, 0e0, 'embedding'), ('model-4', 0e0, 0e0, 'chat') as t(price_model, input_cost, output_cost, mode)"
+_PRICES = "select * from values ('model-0', 1e-6, 2e-6, 'chat'), ('model-1', 3e-6, 6e-6, 'chat'), ('openai/model-2', 1e-6, 1e-6, 'chat'), ('model-3', 5e-6, 0e0, 'embedding'), ('model-4', 0e0, 0e0, 'chat') as t(price_model, input_cost, output_cost, mode)"
 
 
 def _usage(spark, sf) -> DataFrame:
-    rows = spans(spark, sf).select("trace_id", "span_id", F.lit("acme").alias("system"), "gen_ai_request_model", "input_tokens", "output_tokens", "tb1", "tb2")
+    rows = spans(spark, sf).select("trace_id", "span_id", F.lit("openai").alias("system"), "gen_ai_request_model", "input_tokens", "output_tokens", "tb1", "tb2")
     dated = F.when(F.col("tb1") % 2 == 0, F.concat(F.lit("us."), "gen_ai_request_model")).otherwise(F.concat("gen_ai_request_model", F.lit("-20240101")))
     return rows.withColumn("model", dated)
 
 
-_PRICED = f"""with spans as ({_SPANS}), m as (select *, case gen_ai_request_model when 'model-0' then 1e-6 when 'model-1' then 3e-6 when 'model-2' then case when tb1 % 2 = 0 then 1e-6 end when 'model-3' then 5e-6 end i,
- case gen_ai_request_model when 'model-0' then 2e-6 when 'model-1' then 6e-6 when 'model-2' then case when tb1 % 2 = 0 then 1e-6 end when 'model-3' then 0.0 end o,
- case when gen_ai_request_model in ('model-0', 'model-1', 'model-3') then case when tb1 % 2 = 0 then 0.95 else 0.7 end when gen_ai_request_model = 'model-2' and tb1 % 2 = 0 then 0.95 else 0.0 end confidence from spans)"""
+#: a region before a name is dropped (exact), a date after it is dropped (family); one model has a price under its provider only
+_PRICED = f"""with spans as ({_SPANS}), m as (select *, case when gen_ai_request_model = 'model-2' and tb1 % 2 = 0 then null when gen_ai_request_model in ('model-0', 'model-2') then 1e-6 when gen_ai_request_model = 'model-1' then 3e-6 when gen_ai_request_model = 'model-3' then 5e-6 end i,
+ case when gen_ai_request_model = 'model-2' and tb1 % 2 = 0 then null when gen_ai_request_model = 'model-0' then 2e-6 when gen_ai_request_model = 'model-1' then 6e-6 when gen_ai_request_model = 'model-2' then 1e-6 when gen_ai_request_model = 'model-3' then 0.0 end o,
+ case when gen_ai_request_model in ('model-0', 'model-1', 'model-3') then case when tb1 % 2 = 0 then 1.0 else 0.7 end when gen_ai_request_model = 'model-2' and tb1 % 2 <> 0 then 0.7 else 0.0 end confidence from spans)"""
 
 
 @query(f"{_PRICED} select gen_ai_request_model, tb1 % 2 as dated, cast(confidence as double) confidence, count(*) n from m group by all")
@@ -521,7 +523,7 @@ def feed_leaf_errors(spark, sf):
 
 @query()
 def feed_prefix(spark, sf):
-    rows = _replayed(spark, sf).select(F.col("trace_id").alias("session_id"), F.col("span_id").alias("trace_id"), F.timestamp_seconds("time").alias("trace_start"), "message_index", "role", "content_hash")
+    rows = _replayed(spark, sf).select(F.col("trace_id").alias("session_id"), F.col("span_id").alias("trace_id"), "span_id", F.timestamp_seconds("time").alias("trace_start"), "message_index", "role", "content_hash")
     return fd.prefix_history(rows)
 
 
@@ -662,3 +664,23 @@ def metrics_exp_histogram(spark, sf):
 def metrics_summary(spark, sf):
     rows = _points(spark, sf, "summary", '"count":"%1$d","quantileValues":[{"quantile":0.5,"value":%2$d}]')
     return rows.groupBy("project_id").agg(F.sum("count").cast("long").alias("n"), F.sum(F.get("quantiles", 0)["value"]).alias("median"))
+
+
+@query("select 'tool-' || (event_id % 7) as name, count(distinct event_type) n_properties, 'says ' || min(event_type) as about from events group by 1")
+def tool_definitions(spark, sf):
+    name, kind = F.concat(F.lit("tool-"), (F.col("event_id") % 7).cast("string")), F.col("event_type")
+    schema = F.format_string('{"type":"object","properties":{"%s":{"type":"string"}}}', kind)
+    forms = F.when(F.col("event_id") % 2 == 0, F.format_string('[{"name":"%s","description":"says %s","input_schema":%s}]', name, kind, schema)).otherwise(F.format_string('{"toolSpec":{"name":"%s","description":"says %s","inputSchema":{"json":%s}}}', name, kind, schema))
+    out = fd.merged_definitions(table(spark, sf, "events").select(forms.alias("definition")))
+    properties = F.from_json(F.get_json_object("definition", "$.function.parameters.properties"), "map<string, string>")
+    return out.select("name", F.size(properties).cast("long").alias("n_properties"), F.get_json_object("definition", "$.function.description").alias("about"))
+
+
+@query(f"with spans as ({_SPANS}) select project_id, md5(cast(tb1 as varchar)) as hash, count(distinct trace_id) ref_count from spans group by 1, 2")
+def file_references(spark, sf):
+    return blobs.reference_counts(spans(spark, sf).withColumn("hash", F.md5(F.col("tb1").cast("string"))))
+
+
+@query("select time_bucket(interval '1 hour', ts) window_start, user_id, count(*) n from events group by 1, 2")
+def rate_limit_windows(spark, sf):
+    return rate_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

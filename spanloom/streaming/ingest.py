@@ -24,7 +24,7 @@ def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, projec
         bad = F.col("r.resourceSpans").isNull()
         batch.filter(bad).select("value", F.lit(epoch).alias("epoch")).write.mode("append").parquet(f"{store}/dead_letter")
         good = batch.filter(~bad).select(F.lit(project).alias("project_id"), "r.resourceSpans")
-        rows = otlp.enriched(otlp.spans(good)).withColumn("ingested_at", F.current_timestamp()).withColumn("day", F.to_date("timestamp_start"))
+        rows = otlp.with_messages(otlp.enriched(otlp.spans(good))).withColumn("ingested_at", F.current_timestamp()).withColumn("day", F.to_date("timestamp_start"))
         rows.write.mode("append").partitionBy("project_id", "day").parquet(f"{store}/spans")
         if fan_out:
             fan_out(rows)
@@ -36,3 +36,25 @@ def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, projec
 def deduplicated_stream(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Optional: drop spans seen within the watermark, with state bounded by ``delay``."""
     return rows.withWatermark("timestamp_start", delay).dropDuplicatesWithinWatermark(["project_id", "trace_id", "span_id"])
+
+
+def ingest_metrics(spark: SparkSession, source: str, store: str, checkpoint: str, project: str = "default", files: int = 100) -> StreamingQuery:
+    """Metric points of OTLP JSON lines, appended by project and day; the same guarantees as spans."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files).text(source)
+    parsed = raw.select("value", F.from_json("value", otlp.METRICS_REQUEST, {"mode": "PERMISSIVE"}).alias("r"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        bad = F.col("r.resourceMetrics").isNull()
+        batch.filter(bad).select("value", F.lit(epoch).alias("epoch")).write.mode("append").parquet(f"{store}/metrics_dead_letter")
+        rows = otlp.metrics(batch.filter(~bad).select(F.lit(project).alias("project_id"), "r.resourceMetrics")).withColumn("day", F.to_date("timestamp"))
+        rows.write.mode("append").partitionBy("project_id", "day").parquet(f"{store}/metrics")
+        batch.unpersist()
+
+    return parsed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def rate_counts(rows: DataFrame, key: str, time: str = "ingested_at", width: str = "1 minute", delay: str = "2 minutes") -> DataFrame:
+    """Requests of each key by fixed window, for limits; state is bounded by ``delay``.  Works on batches and streams."""
+    marked = rows.withWatermark(time, delay) if rows.isStreaming else rows
+    return marked.groupBy(F.window(time, width).alias("window"), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")

@@ -130,3 +130,48 @@ def test_frameworks(spark, framework, attributes, resource, name):
 def test_classes(spark, attributes, name, category, kind):
     row = spark.createDataFrame([(attributes, name)], "a map<string,string>, n string").select(classify.category(F.col("a"), F.col("n")), classify.observation_type(F.col("a"), F.col("n"))).first()
     assert tuple(row) == (category, kind)
+
+
+def test_merged_tools():
+    full = {"type": "function", "function": {"name": "f", "description": "n/a", "parameters": {"properties": {"a": {"type": "string"}}, "required": ["a"]}}}
+    bare = {"type": "function", "function": {"name": "f", "description": "does", "parameters": {"properties": {"b": {}}, "required": ["b"]}}, "strict": True}
+    expected = {"type": "function", "strict": True, "function": {"name": "f", "description": "does", "parameters": {"properties": {"a": {"type": "string"}, "b": {}}, "required": ["b", "a"]}}}  # of equal completeness the lesser text is the base
+    assert ms.merged_tool([full, bare]) == ms.merged_tool([bare, full]) == expected
+
+
+@pytest.mark.parametrize(
+    ("system", "model", "confidence"),
+    [
+        (None, "GPT-4", 1.0), (None, "us.gpt-4", 1.0), (None, "any/gpt-4", 0.95), (None, "openai:gpt-4", 1.0), (None, "projects/p/models/gpt-4", 1.0), (None, "ft:gpt-4:org::id", 0.85), (None, "ft:gpt-4-20240101:org", 0.70),
+        (None, "gpt-4:free", 0.85), (None, "gpt-4@20240101", 0.85), (None, "gpt-4-v1:0", 0.85), (None, "gpt-4-2024-01-01", 0.70), ("AWS_Bedrock", "nova", 0.95), (None, "nova", 0.0), ("langchain", "nova", 0.0), (None, None, 0.0), (None, "a/b:0123456789abcdef", 1.0),
+    ],
+)
+def test_price_names(spark, system, model, confidence):
+    from spanloom.functions import pricing
+
+    prices = spark.sql("select * from values ('gpt-4', 1D, 1D, 'chat'), ('bedrock/nova', 1D, 1D, 'chat'), ('a/b', 1D, 1D, 'chat') as t(price_model, input_cost, output_cost, mode)")
+    rows = spark.createDataFrame([(system, model, 1, 0)], "system string, model string, input_tokens long, output_tokens long")
+    assert pricing.priced(rows, prices).first().confidence == confidence
+
+
+def test_price_parts(spark):
+    from spanloom.functions import pricing
+
+    prices = spark.sql("select 'm' price_model, 1D input_cost, 2D output_cost, 'chat' mode, true supports_caching, 0.5D cache_read_cost union all select 'e', 1D, 2D, 'embedding', false, 0D")
+    columns = "system string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, reasoning_tokens long"
+    rows = spark.createDataFrame([(None, "m", 1, 1, 2, 3, 4), (None, "e", 1, 9, 0, 3, 9), (None, "m", -5, None, 0, 0, 0)], columns)
+    assert sorted(float(r.cost_total) for r in pricing.priced(rows, prices).collect()) == [0.0, 1.0, 1 + 2 + 1 + 3 + 8]
+
+
+@pytest.mark.parametrize(
+    ("attributes", "expected"),
+    [
+        ({"gen_ai.input.messages": json.dumps([{"role": "system", "content": "s"}, HELLO, {"role": "user", "parts": [{"text": " last "}]}]), "gen_ai.output.messages": json.dumps([{"role": "assistant", "content": "x" * 201}])}, ("last", "x" * 200 + "...")),
+        ({"system_prompt": "s", "tool_response": "done"}, ("s", "done")),
+        ({"input.value": "5"}, (None, None)),
+        ({}, (None, None)),
+    ],
+)
+def test_previews(attributes, expected):
+    out = ms.extract(attributes, "", [])
+    assert (out["input_preview"], out["output_preview"]) == expected

@@ -100,9 +100,22 @@ def test_otlp_spans(spark, tmp_path):
     query.awaitTermination(60)
     row = spark.read.parquet(str(tmp_path / "store" / "spans")).first()
     assert (row.trace_id, row.span_id, row.duration_ms, row.status_code, row.observation_type, row.input_tokens, row.total_tokens, row.exception_type) == ("ab", "cd", 1500, "ERROR", "generation", 12, 12, "E")
+    assert (row.dialect, row.messages, row.output_preview) == (None, [], None)
     assert spark.read.parquet(str(tmp_path / "store" / "dead_letter")).count() == 1
 
 
+def test_metric_stream(spark, tmp_path):
+    from spanloom.streaming.ingest import ingest_metrics
+
+    (tmp_path / "in").mkdir()
+    point = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "g", "gauge": {"dataPoints": [{"timeUnixNano": "1700000000000000000", "asInt": "3"}]}}]}]}]}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(point) + "\nnot json\n")
+    for _ in range(2):  # the second run finds nothing new
+        ingest_metrics(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination(60)
+    assert [r.value_int for r in spark.read.parquet(str(tmp_path / "store" / "metrics")).collect()] == [3]
+    assert spark.read.parquet(str(tmp_path / "store" / "metrics_dead_letter")).count() == 1
+
+
 def test_streaming_dedup(spark, tmp_path):
     tree(spark, ("a", None, "span", 1), ("a", None, "span", 1)).withColumn("timestamp_start", F.col("timestamp_start").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
