@@ -48,16 +48,20 @@ def spans(requests: DataFrame) -> DataFrame:
 def metrics(requests: DataFrame) -> DataFrame:
     """A row for each data point of gauges, sums, histograms, exponential histograms and summaries."""
     r = requests.select("project_id", F.explode("resourceMetrics").alias("r")).select("project_id", F.explode("r.scopeMetrics").alias("s")).select("project_id", F.explode("s.metrics").alias("m"))
-    out = None
-    for kind, name in (("gauge", "gauge"), ("sum", "sum"), ("histogram", "histogram"), ("exponentialHistogram", "exponential_histogram"), ("summary", "summary")):
-        rows = r.select("project_id", F.col("m.name").alias("metric_name"), F.lit(name).alias("metric_type"), F.col(f"m.{kind}.aggregationTemporality").alias("temporality"), F.col(f"m.{kind}.isMonotonic").alias("is_monotonic"), F.explode(f"m.{kind}.dataPoints").alias("p"))
-        rows = rows.select(
-            "project_id", "metric_name", "metric_type", "temporality", "is_monotonic", nanos(F.col("p.timeUnixNano")).alias("timestamp"), F.col("p.asInt").try_cast("long").alias("value_int"), F.col("p.asDouble").alias("value_double"),
-            F.col("p.count").try_cast("decimal(20,0)").alias("count"), F.col("p.sum").alias("sum"), F.col("p.min").alias("min"), F.col("p.max").alias("max"), F.col("p.bucketCounts").alias("bucket_counts"), F.col("p.explicitBounds").alias("bounds"),
-            F.col("p.scale").alias("scale"), F.col("p.zeroCount").try_cast("decimal(20,0)").alias("zero_count"), F.col("p.quantileValues").alias("quantiles"), attribute_map(F.col("p.attributes")).alias("attributes"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # all kinds of points in one array: the request is parsed once, not once for each kind
+    def tagged(kind: str, name: str) -> Column:
+        points = F.coalesce(f"m.{kind}.dataPoints", F.array().cast(f"array<{POINT}>"))
+        about = [F.lit(name).alias("type"), F.col(f"m.{kind}.aggregationTemporality").alias("temporality"), F.col(f"m.{kind}.isMonotonic").alias("is_monotonic")]
+        return F.transform(points, lambda p: F.struct(*about, p.alias("p")))
+
+    kinds = {"gauge": "gauge", "sum": "sum", "histogram": "histogram", "exponentialHistogram": "exponential_histogram", "summary": "summary"}
+    points = F.concat(*[tagged(kind, name) for kind, name in kinds.items()])
+    rows = r.select("project_id", F.col("m.name").alias("metric_name"), F.explode(points).alias("x")).select("project_id", "metric_name", F.col("x.type").alias("metric_type"), "x.temporality", "x.is_monotonic", "x.p")
+    return rows.select(
+        "project_id", "metric_name", "metric_type", "temporality", "is_monotonic", nanos(F.col("p.timeUnixNano")).alias("timestamp"), F.col("p.asInt").try_cast("long").alias("value_int"), F.col("p.asDouble").alias("value_double"),
+        F.col("p.count").try_cast("decimal(20,0)").alias("count"), F.col("p.sum").alias("sum"), F.col("p.min").alias("min"), F.col("p.max").alias("max"), F.col("p.bucketCounts").alias("bucket_counts"), F.col("p.explicitBounds").alias("bounds"),
+        F.col("p.scale").alias("scale"), F.col("p.zeroCount").try_cast("decimal(20,0)").alias("zero_count"), F.col("p.quantileValues").alias("quantiles"), attribute_map(F.col("p.attributes")).alias("attributes"),
+    )
 
 
 def enriched(rows: DataFrame) -> DataFrame:

@@ -107,17 +107,16 @@ def marked_history(rows: DataFrame) -> DataFrame:
 
     ``rows``: output of ``sourced`` with trace_id, span_id, parent_span_id, observation_type, role, kind, tool_id,
     time, span_start.  No protected block is ever history.  Adds ``history_rule``, the first rule that holds, and
-    ``is_history``.  A trace is the unit: its flags are windows over it, and current tool calls are a set by trace.
+    ``is_history``.  All windows share one partitioning by trace.
     """
     trace = Window.partitionBy("project_id", "trace_id")
     generation, root = F.coalesce(F.col("observation_type") == "generation", F.lit(False)), F.col("parent_span_id").isNull()
     kind, agent = F.col("kind"), F.coalesce(F.col("observation_type") == "agent", F.lit(False))
     over = lambda c: F.max(F.coalesce(c, F.lit(False))).over(trace)
     flags = rows.withColumns({"_agents": over(agent), "_events": over(F.col("output_event") | F.col("input_event")), "_results": over(generation & (kind == "tool_result"))})
-    # the calls that protected blocks make: a join by (trace, id) instead of a set of ids on every row of a trace
-    calls = rows.filter((kind == "tool_use") & F.col("protected") & F.col("tool_id").isNotNull()).select("project_id", "trace_id", F.col("tool_id").alias("_call")).distinct()
-    keys = [F.col("r.project_id").eqNullSafe(F.col("c.project_id")), F.col("r.trace_id") == F.col("c.trace_id"), F.col("r.tool_id") == F.col("c._call")]
-    joined = flags.alias("r").join(calls.alias("c"), keys, "left").select("r.*", F.col("c._call").isNotNull().alias("_current"))
+    # a result is current if a protected block of its trace makes the call: partitioned by trace already, so no shuffle
+    made = (kind == "tool_use") & F.col("protected")
+    joined = flags.withColumn("_current", F.max(F.coalesce(made, F.lit(False))).over(Window.partitionBy("project_id", "trace_id", "tool_id")))
     turns = F.col("_agents") & F.col("_events") & F.col("_results")
     inner = generation & ~root
     rule = (
