@@ -1,7 +1,9 @@
 """Substring dedup: repeated runs of sentences stay in the first text that has them.
 
 A sentence ends at a word that ends in ``.``, ``!`` or ``?``, or before a line feed; sentences longer
-than ``PIECE`` words are cut into pieces of so many.  From every sentence goes the shortest run of
+than ``PIECE`` words are cut before the word of least hash (the last of equals) of every ``PIECE // 2``
+consecutive ones.  The words alone decide, so pieces of a passage are the same at any offset: of 51
+repeated words inside long sentences, a run is always found.  From every sentence goes the shortest run of
 at least ``SENTENCES`` sentences and ``MIN_WORDS`` words, within the text.  A run that an earlier place
 of the text has, or a text of lower doc_id, loses its sentences, with the white space behind them.
 What stays is byte for byte as it was.
@@ -28,6 +30,19 @@ _NO_ID = (1 << 63) - 1
 _SHIFT = 20  # of a run's first sentence, beside their number
 
 
+def _least(hashes: np.ndarray, window: int, sentence: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Place of the least hash, the last of equals, of each window of words inside one long sentence."""
+    n = len(hashes) - window + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    least, at = hashes[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, window):
+        lower = hashes[k : k + n] <= least
+        least[lower], at[lower] = hashes[k : k + n][lower], k
+    inside = long[:n] & (sentence[:n] == sentence[window - 1 :])
+    return (np.arange(n) + at)[inside]
+
+
 class Runs:
     """The sentences of a group of texts, and the run from each: its text, first sentence, number, hash."""
 
@@ -40,8 +55,9 @@ class Runs:
         if n > 1:
             begins[1:] = stop[:-1] | (w.doc[1:] != w.doc[:-1]) | (lines[w.starts[1:]] > lines[w.ends[:-1]])
         heads = np.flatnonzero(begins)
-        since = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
-        self.first = np.flatnonzero(since % piece == 0)  # first word of each sentence
+        size = np.diff(np.append(heads, n))
+        begins[_least(w.hashes, piece // 2, np.repeat(np.arange(len(heads)), size), np.repeat(size > piece, size))] = True
+        self.first = np.flatnonzero(begins)  # first word of each sentence or piece
         self.doc = w.doc[self.first]
         self.bounds = np.searchsorted(self.doc, np.arange(len(offsets)))
         ends = np.append(self.first, n)[1:]

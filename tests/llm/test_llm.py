@@ -144,6 +144,20 @@ def test_substring_brute(docs, texts):
         assert (got[i].n_sentences, got[i].n_removed) == (len(parts), len(gone))
 
 
+def test_substring_at_every_offset(spark):
+    """A passage of 51 words inside another long sentence, behind any number of words, loses a run."""
+    new = iter(range(10_000))
+    other = lambda n: " ".join(f"w{next(new)}" for _ in range(n))
+    passage = [f"p{i}" for i in range(51)]
+    first = " ".join([other(20), *passage, other(20)])
+    rows = [(1, first)] + [(2 + k, f"{other(k)} {' '.join(passage)} {other(40 - k)}") for k in range(41)]
+    got = {r.doc_id: r for r in substring_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == first
+    for i, text in rows[1:]:
+        lost = set(text.split()) - set(got[i].text.split())
+        assert len(lost) >= 20 and lost <= set(passage)
+
+
 def test_fingerprints(docs, texts):
     ids = sorted(texts)
     rows = {r.doc_id: r for r in fingerprints.fingerprinted(docs).collect()}
