@@ -484,7 +484,7 @@ def message_role(spark, sf):
 def _replayed(spark, sf) -> DataFrame:
     """Blocks where trace n of a conversation replays the turns before it: history must be found again."""
     c = table(spark, sf, "conversations")
-    turns = c.select(F.col("conv_id").alias("conv"), F.col("turn").alias("at")).filter("at < 6")
+    turns = c.select(F.col("conv_id").alias("conv"), F.col("turn").alias("at"))
     rows = turns.join(c, (F.col("conv") == F.col("conv_id")) & (F.col("turn") <= F.col("at")))
     rows = rows.select(F.concat(F.lit("c"), "conv_id").alias("trace_id"), F.concat(F.lit("s"), "at").alias("span_id"), F.col("turn").cast("long").alias("message_index"), "role", "text", (F.col("turn") == F.col("at")).alias("is_output"), F.col("at").cast("long").alias("time"))
     return fd.blocks(rows).withColumn("is_history", F.lit(False))
@@ -513,7 +513,7 @@ def feed_dedup(spark, sf):
 
 @query(f"{_REPLAY}, o as (select * from h where not is_history order by time, span_id, message_index, entry_index, trace_id limit 500) select {_BLOCK} from o")
 def feed_order(spark, sf):
-    return fd.deduplicated(fd.duplicate_history(_replayed(spark, sf))).orderBy(*fd.ORDER, "trace_id").limit(500).select(*_BLOCK.split(", "))
+    return fd.deduplicated(fd.duplicate_history(_replayed(spark, sf))).orderBy(*fd.ORDER, "trace_id").select(*_BLOCK.split(", "))
 
 
 @query(f"{D}, e as (select * from d where status_code = 'ERROR') select trace_id, span_id, 'Error: ' || span_name as text from e where not exists (select 1 from e c where c.trace_id = e.trace_id and c.parent_span_id = e.span_id)")
