@@ -617,7 +617,7 @@ def message_dialects(spark, sf):
 
 @query("select conv_id, turn, role, text from conversations where text <> '' and turn % 5 < 3")
 def message_array_expand(spark, sf):
-    rows = _message_spans(spark, sf).filter("turn % 5 < 3").select("conv_id", "turn", F.explode(ms.extracted(F.col("attributes"), F.col("span_name"), F.col("events"))["messages"]).alias("m"))
+    rows = _message_spans(spark, sf).select("conv_id", "turn", F.explode(ms.extracted(F.col("attributes"), F.col("span_name"), F.col("events"))["messages"]).alias("m"))
     one = rows.select("conv_id", "turn", F.explode(ms.expand(F.col("m.source"), F.col("m.content"))).alias("m"))
     return one.select("conv_id", "turn", F.get_json_object("m", "$.role").alias("role"), F.get_json_object("m", "$.content").alias("text"))
 
