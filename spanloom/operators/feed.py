@@ -187,10 +187,11 @@ def totals(blocks_of: DataFrame, spans: DataFrame) -> DataFrame:
     return used.groupBy("project_id").agg(F.sum("input_tokens").cast("long").alias("input_tokens"), F.sum("output_tokens").cast("long").alias("output_tokens"), F.sum("cost_total").cast("double").alias("total_cost"))
 
 
-def span_paths(spans: DataFrame, depth: int = 256) -> DataFrame:
+def span_paths(spans: DataFrame) -> DataFrame:
     """Names from the root to each span of its trace; a cycle or a missing parent ends the path.
 
     Parent links are followed inside one trace, with arrays of one trace in a row: nothing is joined repeatedly.
+    No path is longer than its trace.  Steps are nested by square roots, so a short path in a long trace ends early.
     """
     links = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("span_id", F.struct("parent_span_id", "span_name")))))
     by_trace = spans.select("project_id", "trace_id", "span_id", "parent_span_id", "span_name").dropDuplicates(["project_id", "trace_id", "span_id"]).groupBy("project_id", "trace_id").agg(links.alias("links"))
@@ -203,8 +204,9 @@ def span_paths(spans: DataFrame, depth: int = 256) -> DataFrame:
         onward = F.struct(F.concat(F.array(state["up"]), state["seen"]).alias("seen"), F.concat(F.array(node["span_name"]), state["path"]).alias("path"), node["parent_span_id"].alias("up"))
         return F.when(F.coalesce(go, F.lit(False)), onward).otherwise(F.struct(state["seen"].alias("seen"), state["path"].alias("path"), F.lit(None).cast("string").alias("up")))
 
-    steps = F.sequence(F.lit(1), F.least(F.size("links"), F.lit(depth)))
-    return rows.select("project_id", "trace_id", "span_id", F.aggregate(steps, start, step, lambda s: s["path"]).alias("path"))
+    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size("links"))).cast("int"))
+    many = lambda state, _: F.when(state["up"].isNull(), state).otherwise(F.aggregate(steps, state, step))
+    return rows.select("project_id", "trace_id", "span_id", F.aggregate(steps, start, many, lambda s: s["path"]).alias("path"))
 
 
 def prefix_history(rows: DataFrame) -> DataFrame:

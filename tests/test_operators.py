@@ -54,6 +54,15 @@ def test_evidence_outside_the_filter(spark):
     assert (row.span_count, row.total_tokens) == (2, 0)
 
 
+def test_paths_of_a_long_chain(spark):
+    from spanloom.operators.feed import span_paths
+
+    chain = [(f"s{k}", f"s{k - 1}" if k else None, "span", 0) for k in range(400)]
+    got = {r.span_id: r.path for r in span_paths(tree(spark, *chain, ("x", "y", "span", 0), ("y", "x", "span", 0))).collect()}
+    assert all(got[f"s{k}"] == [f"s{i}" for i in range(k + 1)] for k in range(400))
+    assert got["x"] == ["y", "x"] and got["y"] == ["x", "y"]
+
+
 def test_filters_are_checked():
     with pytest.raises(filters.FilterError):
         filters.parse_filters('[{"type":"string","column":"x","operator":"=","value":"1"}]', {})
