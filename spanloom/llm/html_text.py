@@ -3,28 +3,32 @@
 Every page becomes a list of lines, one for each block.  Blocks in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments (by tag, or by a word of class, id or role) are
 left out.  In a page that marks its article or main part, the lines inside it are its text.  In any
-other page, pages are ordered by URL path within their host; the page beside it with the longer common
-path is its pair; lines are aligned by longest common subsequence, and shared ones, the template, are
-deleted.  Differencing is not used on marked articles: two addresses of one article would erase it.
-
-Order is by range of (host, path, page), so a host with most pages is split over tasks; a page that
-begins or ends a range is paired on its other side.  Lines are compared in blocks of ``LCS_LINES`` after common
-heads and tails are cut.  Null html counts as empty; null urls are a host of their own; repeated rows
-get equal text unless they are unmarked pages and each other's pair; then each pairs with the nearest other
-text.  An empty table gives an empty result; other columns are not read.
+other page, distinct texts are ordered by URL path within their host; of the nearest other texts before
+and after it, the one with the longer common path is its pair; lines are aligned by longest common
+subsequence, and shared ones, the template, are deleted.  Differencing is not used on marked articles: two
+addresses of one article would erase it.
+
+Pages are parsed and written once.  Only hosts, paths and hashes of texts are ordered, by range, so a host with
+most pages is split over tasks; the ends of each range are looked up in the ranges beside it.  Each pair of texts
+is compared once and joined back to all copies, so equal rows get equal text.  Lines are compared in blocks of
+``LCS_LINES`` after common heads and tails are cut.  Null html counts as empty; null urls are a host of their own.
+An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import discard, small_batches, written
 
 #: Elements whose content is never text, whose content is never main text, that end a block, that have no end tag.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title"}
@@ -180,6 +184,65 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _runs(rows: pd.DataFrame) -> list[list[tuple]]:
+    """(host, path, key, marked) in order, in runs of one host and text."""
+    entries = sorted(zip(rows["host"], rows["path"], rows["key"], rows["marked"], strict=True))
+    return [list(run) for _, run in groupby(entries, lambda x: (x[0], x[2]))]
+
+
+def _beside(ends: dict[int, list], part: int, way: int) -> tuple | None:
+    """The nearest other text of the host before (way -1) or after (1) a range; ``ends``: see ``border``."""
+    end = 0 if way < 0 else 1
+    host, _, key = ends[part][end][0]
+    order = sorted(ends)
+    k = order.index(part) + way
+    while 0 <= k < len(order):
+        nearest, other = ends[order[k]][1 - end]
+        if nearest[0] != host:
+            return None
+        if nearest[2] != key:
+            return nearest
+        if other or not ends[order[k]][2]:
+            return other
+        k += way
+    return None
+
+
+def pairs(pages: DataFrame) -> DataFrame:
+    """host, path, key of every distinct text that has an unmarked page, and the key of its pair, if any."""
+
+    def border(rows: pd.DataFrame) -> pd.DataFrame:
+        """For the first and the last entry: it, the nearest other text of its host; whether all is one run."""
+        runs = _runs(rows)
+        out = []
+        for end, one, two in ((0, runs[0][0], runs[1][0] if len(runs) > 1 else None), (1, runs[-1][-1], runs[-2][-1] if len(runs) > 1 else None)):
+            two = two if two and two[0] == one[0] else (None,) * 3
+            out.append((rows["part"].iloc[0], end, *one[:3], *two[:3], len(runs) == 1))
+        return pd.DataFrame(out, columns=["part", "end", "host", "path", "key", "host2", "path2", "key2", "alone"])
+
+    entries = pages.groupBy("host", "path", "key").agg(F.min("marked").alias("marked"))
+    ordered = written(entries.repartitionByRange("host", "path", "key").withColumn("part", F.spark_partition_id()), "ordered")
+    ends: dict[int, list] = {}
+    for r in ordered.groupBy("part").applyInPandas(border, "part int, end int, host string, path string, key string, host2 string, path2 string, key2 string, alone boolean").collect():
+        ends.setdefault(r.part, [None, None, r.alone])[r.end] = (r[2:5], r[5:8] if r.key2 is not None else None)
+    beside = {part: (_beside(ends, part, -1), _beside(ends, part, 1)) for part in ends}
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = _runs(rows)
+        first, last = beside[int(rows["part"].iloc[0])]
+        out = []
+        for k, run in enumerate(runs):
+            host, _, key, _ = run[0]
+            near = (runs[k - 1][-1] if k else first, runs[k + 1][0] if k + 1 < len(runs) else last)
+            near = [x for x in near if x and x[0] == host]
+            out += [(host, path, key, max(near, key=lambda x: _common(x[1], path))[2] if near else None) for _, path, _, marked in run if not marked]  # noqa: B023
+        return pd.DataFrame(out, columns=["host", "path", "key", "pair"])
+
+    found = written(ordered.groupBy("part").applyInPandas(find, "host string, path string, key string, pair string"), "pairs")
+    discard(ordered)
+    return found
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, marked of every page."""
     small_batches(pages.sparkSession, 500)
@@ -188,43 +251,30 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             where = [host_path(u.as_py()) for u in batch.column(1)]
             found = [lines(x.as_py()) for x in batch.column(2)]
+            texts = ["\n".join(t) for _, t in found]  # no line holds a line feed
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array([m for m, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.list_(pa.string()))],
-                ["page_id", "url", "host", "path", "marked", "lines"],
+                [batch.column(0), batch.column(1), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array([m for m, _ in found], pa.bool_()), pa.array(keys, pa.string()), pa.array(texts, pa.string())],
+                ["page_id", "url", "host", "path", "marked", "key", "text"],
             )
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pages in order: each one's pair is the page before or after it, of the same host."""
-        before: tuple | None = None
-        held: tuple | None = None
-
-        def done(page: tuple, one: tuple | None, two: tuple | None) -> tuple:
-            page_id, url, host, path, marked, own = page
-            pairs = [x for x in (one, two) if x and x[2] == host and x[5] != own]
-            if pairs and not marked:
-                pair = max(pairs, key=lambda x: _common(x[3], path))
-                gone = shared(own, pair[5])
-                own = [x for k, x in enumerate(own) if k not in gone]
-            return page_id, url, "\n".join(own), marked
-
         for batch in batches:
             out = []
-            for page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held:
-                    out.append(done(held, before, page))
-                    before = held
-                held = page
-            if out:
-                yield _batch(out)
-        if held:
-            yield _batch([done(held, before, None)])
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        ids, urls, texts, marked = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(marked, pa.bool_())], ["page_id", "url", "text", "marked"])
+            for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = text.split("\n") if text else []
+                gone = shared(own, other.split("\n") if other else [])
+                out.append("\n".join(x for k, x in enumerate(own) if k not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["key", "pair", "left"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, path string, marked boolean, lines array<string>")
-    lined = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    out = lined.mapInArrow(differ, "page_id long, url string, text string, marked boolean")
+    parsed = written(rows.mapInArrow(parse, "page_id long, url string, host string, path string, marked boolean, key string, text string"), "pages")
+    found = pairs(parsed)
+    each = found.filter("pair is not null").select("key", "pair").distinct()
+    used = each.select("key").union(each.select("pair")).distinct()
+    texts = parsed.select("key", "text").join(used, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    both = each.join(texts, "key").join(texts.select(F.col("key").alias("pair"), F.col("text").alias("other")), "pair")
+    left = both.select("key", "pair", "text", "other").mapInArrow(differ, "key string, pair string, left string")
+    plain = parsed.filter("not marked").join(found, ["host", "path", "key"], "left").join(left, ["key", "pair"], "left")
+    out = plain.withColumn("text", F.coalesce("left", "text")).select("page_id", "url", "text", "marked").union(parsed.filter("marked").select("page_id", "url", "text", "marked"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked")

@@ -318,6 +318,23 @@ def test_html_differencing(spark):
     assert html_text.shared(list("abcdef"), list("axcyef")) == {0, 2, 4, 5}
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_html_repeated_pages(spark, ranges):
+    """Copies, and paths of one text, pair with the nearest other text, in whatever ranges they lie."""
+    page = "<body><p>Site name</p><p>{}</p><p>All rights reserved</p></body>"
+    rows = [(i, f"http://h/a/{i // 10}?q={i}", page.format("ab"[i // 20])) for i in range(40)] + [(90, "http://alone/", page.format("c"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: "ab"[i // 20] for i in range(40)} | {90: "Site name\nc\nAll rights reserved"}
+
+
 def test_html_articles(spark):
     rows = queries.op8_html_extraction(spark, SF).collect()
     for r in rows:
