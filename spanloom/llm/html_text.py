@@ -10,9 +10,8 @@ addresses of one article would erase it.
 
 Pages are parsed and written once.  Only hosts, paths and hashes of texts are ordered, by range, so a host with
 most pages is split over tasks; the ends of each range are looked up in the ranges beside it.  Each pair of texts
-is compared once and joined back to all copies, so equal rows get equal text.  Lines are compared in blocks of
-``LCS_LINES`` after common heads and tails are cut.  Null html counts as empty; null urls are a host of their own.
-An empty table gives an empty result; other columns are not read.
+is compared once and joined back to all copies, so equal rows get equal text.  Null html counts as empty; null urls
+are a host of their own.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ import html
 import re
 from collections.abc import Iterator
 from itertools import groupby
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -50,7 +50,6 @@ IMPLIED = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd"
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
-LCS_LINES = 2000
 
 
 def _noisy(tag: str, attributes: str) -> bool:
@@ -137,7 +136,11 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places of a that a longest common subsequence of a and b has (block by block, if both are long)."""
+    """Places of a that a longest common subsequence of a and b has.
+
+    A row of the table of lengths is one number, whose zero bits below j count the length up to j in b.  Only each
+    sqrt(n)-th row is kept, and the rows between are made again on the way back.
+    """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -149,23 +152,44 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     both = set(mid_a) & set(mid_b)
     left = [(lo + i, x) for i, x in enumerate(mid_a) if x in both]
     right = [x for x in mid_b if x in both]
-    for p in range(0, len(left), LCS_LINES):
-        part, other = left[p : p + LCS_LINES], right[p : p + LCS_LINES]
-        table = [[0] * (len(other) + 1)]
-        for _, x in part:
-            above, row = table[-1], [0]
-            for j, y in enumerate(other):
-                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
-            table.append(row)
-        i, j = len(part), len(other)
-        while i and j:
-            if part[i - 1][1] == other[j - 1]:
-                keep.add(part[i - 1][0])
-                i, j = i - 1, j - 1
-            elif table[i - 1][j] >= table[i][j - 1]:
-                i -= 1
-            else:
-                j -= 1
+    where: dict[str, list[int]] = {}
+    for j, x in enumerate(right):
+        where.setdefault(x, []).append(j)
+
+    def places(x: str) -> int:
+        bits = bytearray(len(right) // 8 + 1)
+        for j in where[x]:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    often = {x: places(x) for x, at in where.items() if len(at) > 64}  # few, so they fit
+    full = (1 << len(right)) - 1
+
+    def rows(row: int, lines_of: list[tuple[int, str]]) -> Iterator[int]:
+        for _, x in lines_of:
+            hit = row & (often[x] if x in often else places(x))
+            row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    step = max(1, isqrt(len(left)))
+    kept, row = [full], full
+    for p in range(0, len(left), step):
+        for row in rows(row, left[p : p + step]):  # noqa: B007
+            pass
+        kept.append(row)
+    i, j, length, block, above = len(left), len(right), len(right) - row.bit_count(), -1, []
+    while i and j:
+        if left[i - 1][1] == right[j - 1]:
+            keep.add(left[i - 1][0])
+            i, j, length = i - 1, j - 1, length - 1
+            continue
+        if (i - 1) // step != block:
+            block = (i - 1) // step
+            above = [kept[block], *rows(kept[block], left[block * step : block * step + step])]
+        if j - (above[i - 1 - block * step] & ((1 << j) - 1)).bit_count() == length:
+            i -= 1
+        else:
+            j -= 1
     return keep
 
 

@@ -318,6 +318,29 @@ def test_html_differencing(spark):
     assert html_text.shared(list("abcdef"), list("axcyef")) == {0, 2, 4, 5}
 
 
+def test_html_shared_lines_of_any_number():
+    """The same places as from the whole table, with moved and repeated lines, and no lines lost beyond 2,000."""
+
+    def whole(a, b):
+        table = [[0] * (len(b) + 1)]
+        for x in a:
+            above, row = table[-1], [0]
+            for j, y in enumerate(b):
+                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+            table.append(row)
+        return table[-1][-1]
+
+    rng = np.random.default_rng(1)
+    for n, m, kinds in ((2500, 2300, 40), (30, 50, 3), (60, 20, 500), (0, 5, 2), (2300, 150, 4)):
+        a, b = ([str(x) for x in rng.integers(0, kinds, k)] for k in (n, m))
+        got = sorted(html_text.shared(a, b))
+        assert len(got) == whole(a, b)
+        rest = iter(b)
+        assert all(a[k] in rest for k in got)
+    template = [f"line {k}" for k in range(9000)]
+    assert html_text.shared([*template, "own", "tail"], [*[f"new {k}" for k in range(3000)], *(["line 8999"] * 2500), *template, "tail", "x"]) == set(range(9000)) | {9001}
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 40])
 def test_html_repeated_pages(spark, ranges):
     """Copies, and paths of one text, pair with the nearest other text, in whatever ranges they lie."""
