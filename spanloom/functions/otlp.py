@@ -2,24 +2,80 @@
 
 from __future__ import annotations
 
+import base64
+import json
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>"
+#: Arrays and maps nest without end, so they are read as their JSON text.
+VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, arrayValue: string, kvlistValue: string, bytesValue: string>"
 ATTRIBUTES = f"array<struct<key: string, value: {VALUE}>>"
 EVENT = f"struct<name: string, timeUnixNano: string, attributes: {ATTRIBUTES}>"
 LINK = f"struct<traceId: string, spanId: string, attributes: {ATTRIBUTES}>"
 SPAN = f"struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: int, startTimeUnixNano: string, endTimeUnixNano: string, attributes: {ATTRIBUTES}, events: array<{EVENT}>, links: array<{LINK}>, status: struct<code: int, message: string>>"
 REQUEST = f"resourceSpans array<struct<resource: struct<attributes: {ATTRIBUTES}>, scopeSpans: array<struct<scope: struct<name: string>, spans: array<{SPAN}>>>>>"
-POINT = f"struct<timeUnixNano: string, asInt: string, asDouble: double, count: string, sum: double, min: double, max: double, bucketCounts: array<string>, explicitBounds: array<double>, scale: int, zeroCount: string, quantileValues: array<struct<quantile: double, value: double>>, attributes: {ATTRIBUTES}>"
+BUCKETS = "struct<offset: int, bucketCounts: array<string>>"
+EXEMPLAR = f"struct<timeUnixNano: string, asInt: string, asDouble: double, traceId: string, spanId: string, filteredAttributes: {ATTRIBUTES}>"
+POINT = f"struct<timeUnixNano: string, asInt: string, asDouble: double, count: string, sum: double, min: double, max: double, bucketCounts: array<string>, explicitBounds: array<double>, scale: int, zeroCount: string, zeroThreshold: double, positive: {BUCKETS}, negative: {BUCKETS}, exemplars: array<{EXEMPLAR}>, quantileValues: array<struct<quantile: double, value: double>>, attributes: {ATTRIBUTES}>"
 _KIND = f"struct<dataPoints: array<{POINT}>, aggregationTemporality: int, isMonotonic: boolean>"
 METRIC = f"struct<name: string, unit: string, gauge: {_KIND}, sum: {_KIND}, histogram: {_KIND}, exponentialHistogram: {_KIND}, summary: {_KIND}>"
 METRICS_REQUEST = f"resourceMetrics array<struct<resource: struct<attributes: {ATTRIBUTES}>, scopeMetrics: array<struct<scope: struct<name: string>, metrics: array<{METRIC}>>>>>"
 
 
-def attribute_map(attributes: Column) -> Column:
-    """Key to string; of equal keys the last wins."""
-    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+def plain_text(value: object) -> str:
+    """Text of a value of the wire: of arrays and maps JSON, with the texts of what they hold."""
+    if not isinstance(value, dict):
+        return ""
+    kind, v = next(((k, v) for k, v in value.items() if k.endswith("Value") and v is not None), ("", None))
+    if kind == "arrayValue":
+        return json.dumps([plain_text(x) for x in v.get("values") or []], ensure_ascii=False, separators=(",", ":"))
+    if kind == "kvlistValue":
+        held = {x.get("key", ""): plain_text(x["value"]) for x in v.get("values") or [] if x.get("value") is not None}
+        return json.dumps(held, ensure_ascii=False, separators=(",", ":"))
+    if kind == "boolValue":
+        return "true" if v else "false"
+    if kind == "bytesValue":
+        return base64.b64decode(v).hex()
+    if kind == "doubleValue" and isinstance(v, float):
+        return format(Decimal(repr(v)), "f").removesuffix(".0")
+    return str(v) if kind else ""
+
+
+def _plain_texts(wire: Column) -> Column:
+    def text(x: str) -> str:
+        try:
+            return plain_text(json.loads(x))
+        except (ValueError, TypeError, AttributeError, KeyError, RecursionError):
+            return x  # not of the wire's form: kept as it is
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([[text(x) for x in xs] if xs is not None else [] for xs in column])
+
+    return run(wire)
+
+
+def _wire(value: Column) -> Column:
+    """An array or map as the wire has it; null for other values."""
+    form = lambda kind: F.when(value[kind].isNotNull(), F.concat(F.lit(f'{{"{kind}":'), value[kind], F.lit("}")))
+    return F.coalesce(form("arrayValue"), form("kvlistValue"))
+
+
+def nested_texts(*attributes: Column) -> Column:
+    """Wire form to text, of the arrays and maps in these attributes: only they leave the JVM."""
+    none = F.array().cast(ATTRIBUTES)
+    every = F.concat(*[F.transform(F.coalesce(a, none), lambda e: _wire(e["value"])) for a in attributes])
+    wire = F.array_distinct(F.array_compact(every))
+    return F.map_from_arrays(wire, _plain_texts(wire))
+
+
+def attribute_map(attributes: Column, nested: Column) -> Column:
+    """Key to string; of equal keys the last wins.  ``nested``: ``nested_texts`` of them."""
+    raw = lambda v: F.lower(F.hex(F.try_to_binary(v["bytesValue"], F.lit("base64"))))
+    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), F.try_element_at(nested, _wire(v)), raw(v))
     entries = F.coalesce(attributes, F.array().cast(ATTRIBUTES))
     return F.map_from_entries(F.transform(F.filter(entries, lambda e: e["key"].isNotNull()), lambda e: F.struct(e["key"], text(e["value"]))))
 
@@ -30,17 +86,21 @@ def nanos(text: Column) -> Column:
 
 def spans(requests: DataFrame) -> DataFrame:
     """A row for each span of each request (column ``resourceSpans``, with project_id)."""
-    r = requests.select("project_id", F.explode("resourceSpans").alias("r"))
-    s = r.select("project_id", attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeSpans").alias("s"))
+    r = requests.select("project_id", F.explode("resourceSpans").alias("r")).withColumn("nested", nested_texts(F.col("r.resource.attributes")))
+    s = r.select("project_id", attribute_map(F.col("r.resource.attributes"), F.col("nested")).alias("resource"), F.explode("r.scopeSpans").alias("s"))
     x = s.select("project_id", "resource", F.explode("s.spans").alias("x"))
+    events = F.coalesce("x.events", F.array().cast(f"array<{EVENT}>"))
+    said = F.flatten(F.transform(events, lambda e: F.coalesce(e["attributes"], F.array().cast(ATTRIBUTES))))
+    x = x.withColumn("nested", nested_texts(F.col("x.attributes"), said))
+    nested = F.col("nested")
     start, end = F.col("x.startTimeUnixNano"), F.nullif(F.col("x.endTimeUnixNano"), F.lit("0"))
     return x.select(
         "project_id", F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"), F.nullif(F.lower("x.parentSpanId"), F.lit("")).alias("parent_span_id"), F.col("x.name").alias("span_name"),
         nanos(start).alias("timestamp_start"), nanos(end).alias("timestamp_end"),
         F.coalesce(F.expr("(cast(nullif(x.endTimeUnixNano, '0') as bigint) - cast(x.startTimeUnixNano as bigint)) div 1000000"), F.lit(0)).alias("duration_ms"),
         F.when(F.col("x.status.code") == 2, "ERROR").when(F.col("x.status.code") == 1, "OK").otherwise("UNSET").alias("status_code"),
-        "resource", attribute_map(F.col("x.attributes")).alias("attributes"),
-        F.transform(F.coalesce("x.events", F.array().cast(f"array<{EVENT}>")), lambda e: F.struct(e["name"].alias("name"), attribute_map(e["attributes"]).alias("attributes"))).alias("events"),
+        "resource", attribute_map(F.col("x.attributes"), nested).alias("attributes"),
+        F.transform(events, lambda e: F.struct(e["name"].alias("name"), attribute_map(e["attributes"], nested).alias("attributes"))).alias("events"),
         F.to_json("x.links").alias("links"),
     )
 
@@ -57,10 +117,21 @@ def metrics(requests: DataFrame) -> DataFrame:
     kinds = {"gauge": "gauge", "sum": "sum", "histogram": "histogram", "exponentialHistogram": "exponential_histogram", "summary": "summary"}
     points = F.concat(*[tagged(kind, name) for kind, name in kinds.items()])
     rows = r.select("project_id", F.col("m.name").alias("metric_name"), F.explode(points).alias("x")).select("project_id", "metric_name", F.col("x.type").alias("metric_type"), "x.temporality", "x.is_monotonic", "x.p")
+    exemplars = F.coalesce("p.exemplars", F.array().cast(f"array<{EXEMPLAR}>"))
+    about = F.flatten(F.transform(exemplars, lambda e: F.coalesce(e["filteredAttributes"], F.array().cast(ATTRIBUTES))))
+    rows = rows.withColumn("nested", nested_texts(F.col("p.attributes"), about))
+    nested = F.col("nested")
+    known = lambda i: F.when(i.rlike("[^0]"), F.lower(i))
+    exemplar = lambda e: F.struct(
+        known(e["traceId"]).alias("trace_id"), known(e["spanId"]).alias("span_id"), e["asInt"].try_cast("long").alias("value_int"), e["asDouble"].alias("value_double"),
+        nanos(F.nullif(e["timeUnixNano"], F.lit("0"))).alias("timestamp"), attribute_map(e["filteredAttributes"], nested).alias("attributes"),
+    )
+    buckets = lambda b: F.when(b.isNotNull(), F.struct(F.coalesce(b["offset"], F.lit(0)).alias("offset"), F.coalesce(b["bucketCounts"], F.array().cast("array<string>")).alias("bucket_counts")))
     return rows.select(
         "project_id", "metric_name", "metric_type", "temporality", "is_monotonic", nanos(F.col("p.timeUnixNano")).alias("timestamp"), F.col("p.asInt").try_cast("long").alias("value_int"), F.col("p.asDouble").alias("value_double"),
         F.col("p.count").try_cast("decimal(20,0)").alias("count"), F.col("p.sum").alias("sum"), F.col("p.min").alias("min"), F.col("p.max").alias("max"), F.col("p.bucketCounts").alias("bucket_counts"), F.col("p.explicitBounds").alias("bounds"),
-        F.col("p.scale").alias("scale"), F.col("p.zeroCount").try_cast("decimal(20,0)").alias("zero_count"), F.col("p.quantileValues").alias("quantiles"), attribute_map(F.col("p.attributes")).alias("attributes"),
+        F.col("p.scale").alias("scale"), F.col("p.zeroCount").try_cast("decimal(20,0)").alias("zero_count"), F.when(F.col("metric_type") == "exponential_histogram", F.coalesce("p.zeroThreshold", F.lit(0.0))).alias("zero_threshold"), buckets(F.col("p.positive")).alias("positive"), buckets(F.col("p.negative")).alias("negative"),
+        F.col("p.quantileValues").alias("quantiles"), F.transform(exemplars, exemplar).alias("exemplars"), attribute_map(F.col("p.attributes"), nested).alias("attributes"),
     )
 
 
@@ -73,7 +144,7 @@ def enriched(rows: DataFrame) -> DataFrame:
 
 
 def with_messages(rows: DataFrame) -> DataFrame:
-    """Raw messages, tool definitions and previews of each span.  Only here does a row leave the JVM, once."""
+    """Raw messages, tool definitions and previews of each span.  Only here does a whole row leave the JVM, once."""
     from . import messages as m
 
     found = rows.withColumn("_found", m.extracted(F.col("attributes"), F.col("span_name"), F.col("events")))

@@ -142,6 +142,23 @@ def test_metrics(spark):
     assert rows["g"].value_int == 3 and rows["h"].bucket_counts == ["2", "3"] and rows["e"].scale == 2 and rows["q"].quantiles[0].value == 1.0
 
 
+def test_nested_attributes_and_exponential_histograms(spark):
+    text = lambda x: {"stringValue": x}
+    deep = {"arrayValue": {"values": [text("a"), {"intValue": "1"}, {"boolValue": True}, {"kvlistValue": {"values": [{"key": "k", "value": {"arrayValue": {"values": [text('"é')]}}}, {"key": "none"}]}}]}}
+    attributes = [{"key": "deep", "value": deep}, {"key": "raw", "value": {"bytesValue": "AP8="}}, {"key": "empty", "value": {"arrayValue": {}}}, {"key": "s", "value": text("t")}]
+    expected = {"deep": json.dumps(["a", "1", "true", json.dumps({"k": json.dumps(['"é'], ensure_ascii=False)}, ensure_ascii=False, separators=(",", ":"))], ensure_ascii=False, separators=(",", ":")), "raw": "00ff", "empty": "[]", "s": "t"}
+    parse = lambda r, schema: spark.createDataFrame([(json.dumps(r),)], "v string").select(F.lit("p").alias("project_id"), F.from_json("v", schema).alias("r")).select("project_id", "r.*")
+    span = {"traceId": "AB", "spanId": "CD", "name": "n", "startTimeUnixNano": "1700000000000000000", "attributes": attributes, "events": [{"name": "e", "attributes": attributes}]}
+    row = otlp.spans(parse({"resourceSpans": [{"resource": {"attributes": attributes}, "scopeSpans": [{"spans": [span]}]}]}, otlp.REQUEST)).first()
+    assert row.attributes == row.resource == row.events[0].attributes == expected
+    exemplar = {"timeUnixNano": "1700000000000000000", "asDouble": 1.5, "traceId": "AB", "spanId": "0000000000000000", "filteredAttributes": attributes}
+    point = {"timeUnixNano": "1700000000000000000", "count": "6", "scale": 2, "zeroCount": "1", "zeroThreshold": 0.25, "positive": {"offset": -3, "bucketCounts": ["2", "1"]}, "negative": {"bucketCounts": ["2"]}, "attributes": attributes, "exemplars": [exemplar]}
+    row = otlp.metrics(parse({"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "e", "exponentialHistogram": {"dataPoints": [point]}}]}]}]}, otlp.METRICS_REQUEST)).first()
+    assert (row.zero_threshold, row.positive.asDict(), row.negative.asDict()) == (0.25, {"offset": -3, "bucket_counts": ["2", "1"]}, {"offset": 0, "bucket_counts": ["2"]})
+    assert (row.exemplars[0].trace_id, row.exemplars[0].span_id, row.exemplars[0].value_double) == ("ab", None, 1.5)
+    assert row.attributes == row.exemplars[0].attributes == expected
+
+
 @pytest.mark.parametrize(
     ("content", "types"),
     [
