@@ -10,8 +10,8 @@ moves all words a little, does not decide.  A logistic curve on these and the le
 it into a score.  Letters count in lower case.
 
 The counts come from a bounded sample: ``ROWS`` ordinary and toxic texts of at most ``MAX_CHARS``
-characters; scoring covers all texts, whole.  The log-ratios lie in hashed tables with 32-bit checks, so an
-n-gram that was not seen is known as such.  Null and empty texts score 0, as do all without labels of
+characters; scoring covers all texts, whole.  The log-ratios lie in hashed tables as large as there are
+n-grams, with whole hashes, so none is lost and one that was not seen is known as such.  Null and empty texts score 0, as do all without labels of
 both kinds.  Repeated rows score alike; an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,7 +28,7 @@ from .bytes import groups, mix
 from .bytes import utf8 as utf8_of
 from .labelled import sample, scored
 
-ORDER, DISCOUNT, ROWS, MAX_CHARS, TABLE_BITS, MARGIN = 4, 0.75, (16_000, 4_000), 20_000, 20, 4.0
+ORDER, DISCOUNT, ROWS, MAX_CHARS, MARGIN = 4, 0.75, (16_000, 4_000), 20_000, 4.0
 _PIECE = 1 << 20  # bytes that the driver counts at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -115,20 +115,30 @@ def log_ratios(toxic: pa.ChunkedArray, ordinary: pa.ChunkedArray) -> tuple[tuple
     return (seen, logs[0] - logs[1]), (contexts, free[0] - free[1])
 
 
-def _table(codes: np.ndarray, values: np.ndarray, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Direct-addressed check words and values; where two meet, the larger ratio stays."""
-    order = np.argsort(np.abs(values), kind="stable")
-    h = mix(codes[order] + np.uint64(1))
-    check, value = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.float32)
-    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-    check[slot], value[slot] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), values[order]
-    return check, value
+def _table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each slot of hashes begins, the hashes (of different codes different) in order, and the values; four slots or more a code."""
+    h = mix(codes + np.uint64(1))
+    order = np.argsort(h)
+    bits = (4 * len(codes) + 1).bit_length()
+    slots = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.append(np.searchsorted(h[order], slots), len(codes)).astype(np.int32), h[order], values[order].astype(np.float32)
 
 
-def _look(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray]:
+def _look(table: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, keys, values = table
     h = mix(codes + np.uint64(1))
-    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-    return table[0][slot] == (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), table[1][slot]
+    slot = (h >> np.uint64(65 - len(starts).bit_length())).astype(np.int64)
+    at, end = starts[slot], starts[slot + 1]
+    hit, value = np.zeros(len(codes), bool), np.zeros(len(codes), np.float32)
+    todo = np.flatnonzero(at < end)
+    at = at[todo]
+    while len(todo):
+        same = keys[at] == h[todo]
+        hit[todo[same]], value[todo[same]] = True, values[at[same]]
+        at = at + 1
+        more = ~same & (at < end[todo])
+        todo, at = todo[more], at[more]
+    return hit, value
 
 
 def evidence(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

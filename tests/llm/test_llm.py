@@ -121,6 +121,14 @@ def test_kneser_ney_sums_to_one():
         assert toxicity._shared(every, types, 3).sum() == pytest.approx(1)
 
 
+def test_toxicity_table_loses_nothing():
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 300_000, np.uint64))
+    for n in (0, 1, len(codes) // 2):
+        table = toxicity._table(codes[:n], np.arange(n) + 0.5)
+        hit, value = toxicity._look(table, codes)
+        assert hit[:n].all() and not hit[n:].any() and (value[:n] == np.arange(n) + 0.5).all()
+
+
 def test_substring_brute(docs, texts):
     got = {r.doc_id: r for r in queries.op3_substring_dedup(docs.sparkSession, SF).collect()}
     seen = {}
