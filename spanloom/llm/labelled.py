@@ -14,11 +14,11 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, rows: tuple[int, int], max_chars: int) -> pa.Table:
-    """text, label, fold and the label's total number of rows, for at most rows[label] rows of each label.
+def sample_rows(docs: DataFrame, labels: DataFrame, target: str, rows: tuple[int, int], max_chars: int) -> DataFrame:
+    """doc_id, text, label, fold and the label's total number of rows, for at most rows[label] rows of each label.
 
     Of each class the rows of least xxhash64(doc_id) outside fold 0, texts of over ``max_chars``
-    characters left out; so at most sum(rows) * max_chars characters come to the driver.
+    characters left out; so the sample has at most sum(rows) * max_chars characters.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).filter(fold() != 0)
@@ -31,8 +31,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: tuple[int, int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= max_chars)
     out = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", fold().alias("fold"), "total")
     # A text that stands in several rows of an id would count as often: one stays.
-    out = out.groupBy("doc_id").agg(F.min(F.struct("text", "label", "fold", "total")).alias("r")).select("doc_id", "r.*")
-    return out.toArrow().sort_by("doc_id")
+    return out.groupBy("doc_id").agg(F.min(F.struct("text", "label", "fold", "total")).alias("r")).select("doc_id", "r.*")
+
+
+def sample(docs: DataFrame, labels: DataFrame, target: str, rows: tuple[int, int], max_chars: int) -> pa.Table:
+    """:func:`sample_rows` on the driver, in order of ids."""
+    return sample_rows(docs, labels, target, rows, max_chars).toArrow().sort_by("doc_id")
 
 
 def scored(docs: DataFrame, score: "callable", predict_from: float, batch_columns: str = "doc_id long, score double") -> DataFrame:

@@ -3,33 +3,41 @@
 A model gives each byte of a word, and the space behind it, a probability after up to ORDER - 1 bytes
 of the same word.  Both models discount their own counts; what they set free goes to one shared model
 of the lower orders, interpolated Kneser-Ney on the continuation counts of both classes together, so
-a rare expression is judged by its class only as far as its class has seen it.  A text's evidence is
-the difference of the two log-likelihoods over its length, and over the length's root; words whose own
-difference is above ``MARGIN`` count apart, so that a language that is more frequent in one class, which
-moves all words a little, does not decide.  A logistic curve on these and the length, fitted on labelled texts that the counts have not seen (fold 1), turns
-it into a score.  Letters count in lower case.
+a rare expression is judged by its class only as far as its class has seen it.  Letters count in lower case.
+
+A word's evidence is the difference of its two log-likelihoods.  A toxic text is mostly ordinary words, so
+a text's evidence is that of a mixture in which each word comes from the toxic model with probability
+``SHARE``, plain and over the length and its root; beside it stand the mean over all words and the best mean
+of ``WINDOWS`` words in a row.  A logistic curve on these and the length, fitted on labelled texts that
+the counts have not seen (fold 1), turns it into a score.  No cut is set by hand.
 
 The counts come from a bounded sample: ``ROWS`` ordinary and toxic texts of at most ``MAX_CHARS``
-characters; scoring covers all texts, whole.  The log-ratios lie in hashed tables as large as there are
-n-grams, with whole hashes, so none is lost and one that was not seen is known as such.  Null and empty texts score 0, as do all without labels of
-both kinds.  Repeated rows score alike; an empty table gives an empty result; other columns are not read.
+characters.  N-grams are counted and the fit's evidence is computed in executors; the driver gets counts of at most
+sum(ROWS) * MAX_CHARS n-grams, and no text.  Scoring covers all texts, whole.  The log-ratios lie in hashed
+tables as large as there are n-grams, with whole hashes, so none is lost and one that was not seen is known as
+such.  Null and empty texts score 0, as do all without labels of both kinds.  Repeated rows score alike; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bytes import groups, mix
 from .bytes import utf8 as utf8_of
-from .labelled import sample, scored
+from .labelled import sample_rows, scored
+from .storage import discard, written
 
-ORDER, DISCOUNT, ROWS, MAX_CHARS, MARGIN = 4, 0.75, (16_000, 4_000), 20_000, 4.0
-_PIECE = 1 << 20  # bytes that the driver counts at once
+#: Bytes of an n-gram, Kneser-Ney's discount, prior share of toxic words in a toxic text, words of a passage.
+ORDER, DISCOUNT, SHARE, WINDOWS = 8, 0.75, 0.01, (1, 4)
+ROWS, MAX_CHARS = (8_000, 4_000), 20_000
+_PIECE = 1 << 20  # bytes counted at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
@@ -60,7 +68,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.nda
     return doc[use], code[use], np.cumsum(fresh[use]) - 1
 
 
-def _count(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _count(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8_of(text)
     codes, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in groups(offsets, _PIECE):
@@ -97,9 +105,9 @@ def _shared(codes: np.ndarray, types: np.ndarray, order: int) -> np.ndarray:
     return np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * k * below) / safe, below)
 
 
-def log_ratios(toxic: pa.ChunkedArray, ordinary: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(n-gram, log toxic : ordinary) for all seen, and for their contexts the ratio of an n-gram that was not."""
-    counts = [_count(toxic), _count(ordinary)]
+def log_ratios(toxic: tuple[np.ndarray, np.ndarray], ordinary: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """From the (n-gram, times) of both classes: (n-gram, log toxic : ordinary) for all seen, and for their contexts the ratio of an n-gram that was not."""
+    counts = [toxic, ordinary]
     seen = np.unique(np.concatenate([c for c, _ in counts]))
     context = np.uint64((1 << 8 * (ORDER - 1)) - 1)
     shared = _shared(seen >> np.uint64(8), seen, ORDER - 1)
@@ -116,10 +124,10 @@ def log_ratios(toxic: pa.ChunkedArray, ordinary: pa.ChunkedArray) -> tuple[tuple
 
 
 def _table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each slot of hashes begins, the hashes (of different codes different) in order, and the values; four slots or more a code."""
+    """Where each slot of hashes begins, the hashes (of different codes different) in order, and the values; one slot or more a code."""
     h = mix(codes + np.uint64(1))
     order = np.argsort(h)
-    bits = (4 * len(codes) + 1).bit_length()
+    bits = (len(codes) + 1).bit_length()
     slots = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.append(np.searchsorted(h[order], slots), len(codes)).astype(np.int32), h[order], values[order].astype(np.float32)
 
@@ -142,7 +150,7 @@ def _look(table: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray) -
 
 
 def evidence(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each text: difference of the log-likelihoods over its words and over their root, the same of what words have beyond MARGIN, and terms of the length."""
+    """Of each text: the mixture's log-ratio, over the length and over its root; the mean of all words; the best mean of each window; log length; 1."""
     doc, code, word = grams(data, offsets)
     hit, ratio = _look(model["seen"], code)
     rest = np.flatnonzero(~hit)
@@ -152,9 +160,15 @@ def evidence(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     each = np.bincount(word, ratio.astype(float))
     doc = doc[np.flatnonzero(np.diff(word, prepend=-1))]  # of each word
     n = np.maximum(np.bincount(doc, minlength=docs), 1)
-    total = np.bincount(doc, each, docs)
-    strong = np.bincount(doc, np.maximum(each - MARGIN, 0), docs)
-    return np.stack([total / n, total / np.sqrt(n), strong / n, strong / np.sqrt(n), np.log1p(strong), np.log(n), 1 / np.sqrt(n), np.ones(docs)], axis=1)
+    mixed = np.bincount(doc, np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + each), docs)
+    out = [mixed, mixed / n, mixed / np.sqrt(n), np.bincount(doc, each, docs) / n]
+    sums, ends = np.concatenate([[0.0], np.cumsum(each)]), np.searchsorted(doc, doc, "right")
+    at = np.arange(len(doc))
+    for window in WINDOWS:
+        best = np.full(docs, -np.inf)
+        np.maximum.at(best, doc, (sums[np.minimum(at + window, ends)] - sums[at]) / window)
+        out.append(np.where(np.isfinite(best), best, 0.0))
+    return np.stack([*out, np.log(n), np.ones(docs)], axis=1)
 
 
 def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -182,25 +196,58 @@ def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return beta / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> dict | None:
+def counted(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of ``rows`` (text, label) and their times, of ordinary and of toxic texts; counted in executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            for label in (0, 1):
+                codes, times = _count(batch.column(0).filter(pa.array(labels == label)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), label, np.int32)), pa.array(codes.view(np.int64)), pa.array(times.astype(np.int64))], ["label", "code", "times"])
+
+    sums = rows.select("text", "label").mapInArrow(run, "label int, code long, times long").groupBy("label", "code").agg(F.sum("times").alias("times"))
+    got = sums.toArrow()
+    label, code, times = (got[c].to_numpy() for c in ("label", "code", "times"))
+    code = code.view(np.uint64)
+    out = []
+    for k in (0, 1):
+        own = np.flatnonzero(label == k)
+        own = own[np.argsort(code[own])]
+        out.append((code[own], times[own].astype(float)))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Broadcast:
     """The tables and the curve; None without labels of both kinds to count and to fit on."""
-    got = sample(docs, labels, target, ROWS, MAX_CHARS)
-    part = lambda fit, label: got.filter(pc.and_(pc.equal(pc.equal(got["fold"], 1), fit), pc.equal(got["label"], label)))["text"]
-    if not all(len(part(fit, label)) for fit in (False, True) for label in (0, 1)):
-        return None
-    seen, free = log_ratios(part(False, 1), part(False, 0))
-    model = {"seen": _table(*seen), "free": _table(*free)}
-    check = got.filter(pc.equal(got["fold"], 1))
-    y = check["label"].to_numpy().astype(float)
-    data, offsets = utf8_of(check["text"])
-    x = np.concatenate([evidence(model, data, offsets[i : j + 1]) for i, j in groups(offsets, _PIECE)])
-    weights = check["total"].to_numpy() / np.where(y == 1, y.sum(), (1 - y).sum())
-    return model | {"curve": curve(x, y, weights / weights.mean())}
+    context = docs.sparkSession.sparkContext
+    picked = written(sample_rows(docs, labels, target, ROWS, MAX_CHARS), "labelled")
+    have = {(r.fit, r.label) for r in picked.select((F.col("fold") == 1).alias("fit"), "label").distinct().collect()}
+    if len(have) < 4:
+        discard(picked)
+        return context.broadcast(None)
+    ordinary, toxic = counted(picked.filter("fold <> 1"))
+    seen, free = log_ratios(toxic, ordinary)
+    model = context.broadcast({"seen": _table(*seen), "free": _table(*free)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_of(batch.column(0))
+            for i, j in groups(offsets, _PIECE):
+                x = evidence(model.value, data, offsets[i : j + 1])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(list(x))], ["label", "total", "x"])
+
+    fit = picked.filter("fold = 1").select("text", "label", "total").mapInArrow(run, "label int, total long, x array<double>").collect()
+    discard(picked)
+    fit = sorted(fit)  # in one order, whatever the partitions
+    x, y, total = np.array([r.x for r in fit]), np.array([r.label for r in fit], float), np.array([r.total for r in fit], float)
+    weights = total / np.where(y == 1, y.sum(), (1 - y).sum())
+    return context.broadcast(model.value | {"curve": curve(x, y, weights / weights.mean())})
 
 
 def classify(docs: DataFrame, labels: DataFrame, predict_from: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels of held-out ids are not used."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model = train(docs, labels)
 
     def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if model.value is None:
