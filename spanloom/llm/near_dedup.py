@@ -1,17 +1,20 @@
 """Near duplicates: BagMinHash signatures of five-word shingles, bands, exact check of the overlap.
 
-Texts with equal content are one class (64-bit hash of the text).  Classes that share a band are
+Texts with equal content are one class (128-bit digest of the text).  Classes that share a band are
 candidates; two classes are linked if the Jaccard overlap of their shingle multisets is ``threshold``
 or more, computed from the whole texts.  Groups are the connected components of the links.
 
 A band's bucket is never expanded into rows of pairs: its members are first checked against one
-leader, the one that meets most others.  Buckets whose members then still lie in several groups are
-compared block against block inside tasks.  What is left out are pairs that are in one group already,
-so groups are those of all candidate pairs.
+leader, the one that meets most others.  In buckets whose members then still lie in several groups,
+the members outside the bucket's main group are compared, block against block inside tasks, with those in it
+and among themselves.  What is left out are pairs that are in one group already, so groups are those of all
+candidate pairs.  The work on such a bucket grows with its members times those outside its main group.
+
+Buckets and leaders may have any number of rows: joins on them are salted, see :mod:`skew`.
 
 Null texts count as empty; texts without words are alike only if equal; a short text with words is one
-shingle.  A group keeps its row of least doc_id (nulls last), of equal rows one.  An empty table gives
-an empty result.  Extra columns pass through :func:`deduplicated`, whatever their names.
+shingle.  A group keeps its row of least doc_id (nulls last), of equal rows one; a text that repeats is compared once.
+An empty table gives an empty result.  Extra columns pass through :func:`deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .bagminhash import COMPONENTS, bands, signatures
 from .bytes import counted, groups, mix, shingles, utf8, words
 from .components import components
+from .skew import salted_join
 from .storage import discard, small_batches, written
 
 WORDS, THRESHOLD, BLOCK, COLUMNS = 5, 0.8, 128, 8192
@@ -33,7 +37,7 @@ _NO_ID = (1 << 63) - 1
 
 
 def _key(docs: DataFrame) -> list:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("class")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("class")]
 
 
 def band_rows(docs: DataFrame, m: int = COMPONENTS, k: int = WORDS) -> DataFrame:
@@ -52,11 +56,11 @@ def band_rows(docs: DataFrame, m: int = COMPONENTS, k: int = WORDS) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out[~empty].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["did", "class", "bands"])
 
-    return docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "did long, class long, bands array<long>")
+    return docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "did long, class binary, bands array<long>")
 
 
 def overlap(pairs: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
-    """``pairs`` (a, b) with the Jaccard overlap of the two texts' shingle multisets."""
+    """``pairs`` (a, b; a written table) with the Jaccard overlap of the two texts' shingle multisets."""
 
     def bag(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, offsets = utf8(column.slice(i, j - i))
@@ -78,9 +82,10 @@ def overlap(pairs: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(share)], ["a", "b", "overlap"])
 
     small_batches(pairs.sparkSession)
-    joined = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, overlap double")
+    times = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
+    joined = salted_join(pairs, texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a", ["b"], times("a"))
+    joined = salted_join(joined, texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b", ["a"], times("b"))
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, overlap double")
 
 
 def spanning_links(texts: pa.Array, roots: np.ndarray, threshold: float, k: int = WORDS) -> list[tuple[int, int]]:
@@ -121,25 +126,34 @@ def spanning_links(texts: pa.Array, roots: np.ndarray, threshold: float, k: int
 
 
 def cross_links(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between classes of different groups in a bucket, from ``placed`` (class, bucket, root).
+    """Links (a, b) between classes of different groups in a bucket, from the written ``placed`` (class, bucket, root).
 
-    Each bucket is cut by hash into blocks of about ``BLOCK`` members, and each two blocks meet in one
-    task, which holds the texts of both, compares all pairs and returns links that connect them: no
-    pair is a row, and a row is copied once for each block of its bucket.
+    Members in the bucket's main group and others are cut by hash into blocks of about ``BLOCK`` apart.  Each block of
+    others meets each of the main group and each of others in one task, which holds the texts of both, compares all
+    pairs and returns links that connect them: no pair is a row, and blocks of the main group do not meet.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        ids, text = rows["class"].to_numpy(), rows["text"].combine_chunks()
-        found = spanning_links(text, rows["root"].to_numpy(), threshold)
-        ends = [[int(ids[x[side]]) for x in found] for side in (0, 1)]
-        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
-
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int"))
-    rows = rows.join(texts, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("class", "root", "text", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+        ids, text = rows["class"].to_pylist(), rows["text"].combine_chunks()
+        roots = np.unique(np.array([x.hex() for x in rows["root"].to_pylist()]), return_inverse=True)[1]
+        found = spanning_links(text, roots, threshold)
+        ends = [[ids[x[side]] for x in found] for side in (0, 1)]
+        return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
+
+    counts = written(placed.groupBy("bucket", "root").agg(F.count("*").alias("n")), "roots")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    dealt = sizes.select("bucket", F.col("top.root").alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("n") - F.col("top.n")).alias("others"))
+    rows = salted_join(placed, dealt, "bucket", ["class"], sizes.select("bucket", "n"))
+    rows = rows.withColumn("inside", F.col("root") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
+    block = F.col("block")
+    outside = F.concat(F.transform(upto("mains"), lambda i: task(False, i, block)), F.transform(upto("others"), lambda k: task(True, F.least(block, k), F.greatest(block, k))))
+    tasks = F.when(F.col("inside"), F.transform(upto("others"), lambda j: task(False, block, j))).otherwise(outside)
+    rows = rows.select("class", "root", "bucket", F.explode(tasks).alias("task")).join(texts, "class")
+    return rows.select("class", "root", "text", "bucket", "task.*").groupBy("bucket", "among", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -147,26 +161,29 @@ def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD)
     classes = rows.groupBy("class").agg(F.first("bands").alias("bands"), F.min("did").alias("did"))
     banded = classes.select("class", "did", F.explode("bands").alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = written(banded.join(shared, "bucket"), "members")
+    members = written(salted_join(banded, shared, "bucket", ["class"], shared), "members")
     asked = members.select("did", "class").distinct()
-    texts = written(docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).join(asked, ["did", "class"]).select("class", "text"), "texts")
+    texts = docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).join(asked, ["did", "class"]).dropDuplicates(["did", "class"])
+    texts = written(texts.select("class", "text"), "texts")
 
     # The leader of a bucket is its member that meets most others, over all its buckets.
     known = members.groupBy("class").agg(F.sum("n").alias("meets"))
     led = members.join(known, "class").groupBy("bucket").agg(F.max(F.struct("meets", "class")).alias("lead")).select("bucket", F.col("lead.class").alias("leader"))
-    pairs = members.join(led, "bucket").filter("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    pairs = salted_join(members.select("bucket", "class"), written(led, "leaders"), "bucket", ["class"], shared).filter("class <> leader")
+    pairs = written(pairs.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct(), "pairs")
     links = written(overlap(pairs, texts).filter(F.col("overlap") >= threshold).select("a", "b"), "links")
     found = components(links)
 
     groups_of = found.select(F.col("id").alias("class"), "root")
-    placed = members.select("class", "bucket").join(groups_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two").select("bucket")
-    open_ = written(placed.join(mixed, "bucket"), "open")
+    placed = members.select("class", "bucket", "n").join(groups_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("n")).filter("one < two").select("bucket", "n")
+    mixed = written(mixed, "mixed")
+    open_ = written(salted_join(placed.drop("n"), mixed.select("bucket"), "bucket", ["class"], mixed), "open")
     more = written(cross_links(open_, texts, threshold), "cross-links")
     if not more.isEmpty():
         discard(found)
         found = components(links.unionByName(more))
-    discard(shared, members, texts, links, open_, more)
+    discard(shared, members, texts, pairs, links, mixed, open_, more)
     return found
 
 
