@@ -130,16 +130,20 @@ def test_toxicity_table_loses_nothing():
 
 
 def test_substring_brute(docs, texts):
+    import pyarrow as pa
+
     got = {r.doc_id: r for r in queries.op3_substring_dedup(docs.sparkSession, SF).collect()}
     seen = {}
     for i in sorted(texts):
         t = texts[i]
         w = [(m.start(), m.end()) for m in WORD.finditer(t)]
-        parts = []
-        for k, (a, _) in enumerate(w):
-            if k == 0 or t[w[k - 1][1] - 1] in ".!?" or "\n" in t[w[k - 1][1] : a] or parts[-1][1] == substring_dedup.PIECE:
-                parts.append([a, 0])
-            parts[-1][1] += 1
+        hashes = kernel.words(*kernel.utf8(pa.array([t]))).hashes.tolist()
+        heads = [k for k, (a, _) in enumerate(w) if k == 0 or t[w[k - 1][1] - 1] in ".!?" or "\n" in t[w[k - 1][1] : a]]
+        cuts, span = set(heads), substring_dedup.PIECE // 2
+        for one, two in zip(heads, [*heads[1:], len(w)], strict=True):
+            if two - one > substring_dedup.PIECE:
+                cuts |= {min(range(k, k + span), key=lambda x: (hashes[x], -x)) for k in range(one, two - span + 1)}
+        parts = [(w[one][0], two - one) for one, two in zip(sorted(cuts), [*sorted(cuts)[1:], len(w)], strict=True)]
         at = [p[0] for p in parts] + [len(t)]
         gone = set()
         for s in range(len(parts)):
@@ -166,6 +170,22 @@ def test_substring_at_every_offset(spark):
         assert len(lost) >= 20 and lost <= set(passage)
 
 
+def test_substring_of_equal_and_null_ids(spark):
+    """Texts of one id, or of none, are ordered too: all but one lose what they share."""
+    prose = " ".join(f"a{i} b{i} c{i} d{i} e{i}." for i in range(20))
+    for rows in ([(None, prose)] * 3, [(7, prose)] * 3, [(None, prose), (None, prose + " More."), (None, "Other. " + prose)], [(7, prose), (7, prose + " More."), (8, prose)]):
+        got = substring_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.n_removed for r in got)[0] == 0 and sum(r.n_removed >= 20 for r in got) == 2, rows
+
+
+def test_substring_floor(spark):
+    """Without a floor plain runs of three sentences go, however short."""
+    rows = [(1, "Yes. No. Maybe. First text here."), (2, "Other words. Yes. No. Maybe. Second one.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.cleaned(docs).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.n_removed for r in substring_dedup.cleaned(docs, min_words=0).orderBy("doc_id").collect()] == [0, 3]
+
+
 def test_fingerprints(docs, texts):
     ids = sorted(texts)
     rows = {r.doc_id: r for r in fingerprints.fingerprinted(docs).collect()}
