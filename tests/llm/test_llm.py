@@ -319,11 +319,55 @@ def test_packing(docs, texts):
         assert {r.bin_size for r in own} == {min(c for c in packing.CAPACITIES if c >= used)}
 
 
-def test_best_fit_prefers_cheap_bins():
-    assert packing.best_fit([400, 100], (512, 1024), 64)[2] == [512]
+def test_best_fit_near_the_optimum():
+    """Small inputs against every partition into bins; several lengths are in use; never above the largest length alone."""
+    rng = np.random.default_rng(3)
+    sizes = (512, 1024, 2048, 4096)
+
+    def optimum(lengths):
+        best = np.inf
+
+        def go(i, bins):
+            nonlocal best
+            if i == len(lengths):
+                best = min(best, packing.total_cost([min(c for c in sizes if c >= u) for u in bins]))
+                return
+            for k, u in enumerate(bins):
+                if u + lengths[i] <= sizes[-1]:
+                    go(i + 1, [*bins[:k], u + lengths[i], *bins[k + 1 :]])
+            go(i + 1, [*bins, lengths[i]])
+
+        go(0, [])
+        return best
+
+    over, opened = [], set()
+    for _ in range(60):
+        lengths = [int(x) for x in np.clip(np.exp(rng.normal(6.3, 1, int(rng.integers(1, 8)))), 1, 4096)]
+        bins, offsets, final = packing.best_fit(lengths, sizes)
+        for b, size in enumerate(final):
+            own = sorted((o, n) for k, o, n in zip(bins, offsets, lengths, strict=True) if k == b)
+            assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and size == min(c for c in sizes if c >= sum(n for _, n in own))
+        largest = packing._pack(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, list(sizes), packing.OVERHEAD, packing.QUADRATIC, False)[2]
+        assert packing.total_cost(final) <= packing.total_cost(largest)
+        over.append(packing.total_cost(final) / optimum(lengths))
+        opened |= set(final)
+    assert np.mean(over) < 1.02 and max(over) < 1.25 and opened == set(sizes)
+
+
+def test_best_fit_weighs_lengths():
+    assert packing.best_fit([400, 100], (512, 1024))[2] == [512]
     assert packing.best_fit([1000, 1000, 24, 24], (1024, 4096), 0)[2] == [1024, 1024]
-    assert packing.best_fit([1000, 1000, 24, 24], (1024, 4096), 5000)[2] == [4096]
-    assert packing.best_fit([300], (512, 8192), 64) == ([0], [0], [512])
+    assert packing.best_fit([1000, 1000, 24, 24], (1024, 4096), 50_000)[2] == [4096]
+    assert packing.best_fit([300], (512, 8192)) == ([0], [0], [512]) and packing.best_fit([]) == ([], [], [])
+
+
+def test_packing_uses_lengths_and_spreads_equal_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = collections.Counter(r.bin_size for r in packing.pack_documents(docs).select("bin_id", "bin_size").distinct().collect() if r.bin_id is not None)
+    assert len(sizes) >= 3 and max(sizes.values()) <= 0.9 * sum(sizes.values())
+    same = spark.createDataFrame([(None, "a b c")] * 400, "doc_id long, text string")
+    blocks = collections.Counter(r.bin_id >> 32 for r in packing.pack_documents(same, block_rows=100).collect())
+    assert sum(blocks.values()) == 400 and max(blocks.values()) < 200
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div>
