@@ -41,7 +41,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, slot_blocks: int = 256) -
 
     Slots count from 0 without gaps in each shard.  A shard is cut by the key's hash into
     ``slot_blocks`` blocks that are numbered apart and offset by the counts of the blocks before, so
-    no task sorts a whole shard.  The table of offsets has shards * slot_blocks rows.
+    no task sorts a whole shard; a row's number in its table is part of the hash, so equal rows spread too.  The
+    table of offsets has shards * slot_blocks rows.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     rows = written(
@@ -51,7 +52,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, slot_blocks: int = 256) -
             F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
             jump_column(key, shards).alias("shard"),
             jump_column(key, shards + 1).alias("grown_shard"),
-            F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(slot_blocks)).cast("int").alias("block"),
+            F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(slot_blocks)).cast("int").alias("block"),
         ),
         "shards",
     )
