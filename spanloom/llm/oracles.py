@@ -35,7 +35,7 @@ z as (select rid, i, count(*) over (partition by rid, a, b, c) n from y where c
 r as (select rid, count(distinct i + j) n from z, (select unnest([0, 1, 2]) j) where n > 1 group by rid),
 f as (select rid, doc_id, len(words) n_words, length(tight) word_chars, length(tight) - length(regexp_replace(tight, '[#*$%&|<>]', '', 'g')) n_symbols, len(lines) n_lines, len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(r.n, 0) n_repeat_words,
   length(tight) - length(regexp_replace(tight, '\p{{Lu}}', '', 'g')) n_upper, length(tight) - length(regexp_replace(tight, '\p{{L}}', '', 'g')) n_letters, length(tight) - length(regexp_replace(tight, '[!?]', '', 'g')) n_exclaim,
-  len(list_filter(words, lambda w: regexp_matches(w, '[.!?]$'))) n_ends, len(list_distinct(words)) n_distinct from d left join r using (rid)),
+  len(list_filter(words, lambda w: regexp_matches(w, '[.!?]\z'))) n_ends, len(list_distinct(words)) n_distinct from d left join r using (rid)),
 v as (select *, {BASE_FAILED} as base_failed, {cast_votes} as pattern from f),
 p as (select pattern, cast(count(*) as double) n, [{digits}] votes, 1 / (1 + exp(-(1.0 + {start}))) q from v where not base_failed group by pattern),
 one as (select list(pattern order by pattern) pattern, list(n order by pattern) n, list(votes order by pattern) votes, list(q order by pattern) q, sum(n) total, count(*) m from p),

@@ -83,7 +83,7 @@ def counters(docs: DataFrame) -> DataFrame:
         "n_upper": chars - _without(tight, "\\p{Lu}"),
         "n_letters": chars - _without(tight, "\\p{L}"),
         "n_exclaim": chars - _without(tight, "[!?]"),
-        "n_ends": n - F.size(F.filter(words, lambda w: ~w.rlike("[.!?]$"))),
+        "n_ends": n - F.size(F.filter(words, lambda w: ~w.rlike("[.!?]\\z"))),
         "n_distinct": F.size(F.array_distinct(words)),
     }
     # A generator of one row: no filter above is pushed below it, where it would count everything again.
@@ -100,7 +100,8 @@ RULES = {
     "word_length": ("word_chars between 3 * n_words and 9 * n_words", "2 * word_chars < 5 * n_words or word_chars > 14 * n_words"),
     "case": ("100 * n_upper <= 15 * n_letters", "2 * n_upper > n_letters"),
     "exclamations": ("50 * n_exclaim <= n_words", "5 * n_exclaim > n_words"),
-    "vocabulary": ("n_words <= 2000 and 10 * n_distinct >= 4 * n_words", "n_words <= 2000 and 5 * n_distinct < n_words"),
+    # Beyond 2,000 words a text's vocabulary grows with the root of its length, and so do the thresholds.
+    "vocabulary": ("10 * n_distinct >= 4 * n_words or n_distinct * n_distinct >= 320 * n_words", "5 * n_distinct < n_words and n_distinct * n_distinct < 80 * n_words"),
     "sentences": ("n_ends > 0 and n_words between 3 * n_ends and 60 * n_ends", "n_words >= 60 and (n_ends = 0 or 10 * n_ends > 7 * n_words)"),
     "letters": ("100 * n_letters >= 94 * word_chars", "100 * n_letters < 90 * word_chars"),
 }
@@ -176,11 +177,11 @@ def judged(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows that pass, with their columns.  The texts are read twice, and nothing of them is moved."""
-    names = docs.columns
+    """The rows that pass, with their columns.  Texts are counted once and written with their votes; no text is shuffled."""
     # A failed text has the pattern -1, which finds no partner.
     key = F.coalesce(F.when(F.expr(_over(BASE_FAILED)), -1).otherwise(votes()), F.lit(-1))
-    patterns = written(counters(docs.select("text")).groupBy(key.alias("pattern")).agg(F.count("*").alias("n")), "patterns")
-    table = written(posteriors(patterns.filter("pattern >= 0"), F.sum("n")), "posteriors")
+    columns = [F.col(f"`{c}`").alias(f"_in_{k}") for k, c in enumerate(docs.columns)]
+    rows = written(counters(docs.select(*columns, "text")).select(*[f"_in_{k}" for k in range(len(columns))], key.alias("_sl_votes")), "voted")
+    table = written(posteriors(rows.filter("_sl_votes >= 0").select(F.col("_sl_votes").alias("pattern"))), "posteriors")
     good = table.filter(F.col("_sl_posterior") >= keep_from).select("_sl_votes")
-    return counters(docs).withColumn("_sl_votes", key).join(F.broadcast(good), "_sl_votes", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return rows.join(F.broadcast(good), "_sl_votes", "left_semi").select(*[F.col(f"_in_{k}").alias(c) for k, c in enumerate(docs.columns)])
