@@ -6,11 +6,15 @@ merge into the sketch of both, and estimate resemblance, containment and the num
 shingles.  All functions here are column expressions.
 
 Null texts count as empty, and empty texts have an empty sketch; two empty sketches are alike (1), an
-empty and another are not (0).
+empty and another are not (0).  Documents follow one another by doc_id, null ids last, those of one id by a hash of
+their text, equal rows in any order; the first follows the last, and a single row follows itself.  Repeated rows
+have equal fingerprints.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,33 +71,58 @@ def decoded(fingerprint: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), part)).otherwise(F.array().cast("array<long>"))
 
 
-def with_next(docs: DataFrame, span: int = 64) -> DataFrame:
-    """(doc_id, text, next_text): the text of the following row by doc_id, null ids last, then by text; the last row's is the first's.
+def buckets(ids: DataFrame, rows_each: int = 512, most: int = 16_384) -> tuple[Column, Column]:
+    """Expressions of ``doc_id`` and ``_tie`` (a hash): the number of the bucket of consecutive rows, and whether it is one of null ids.
+
+    Borders are percentiles of the ids; at most ``most`` of them come to the driver.  An id that is several
+    borders has many rows: these are dealt to as many buckets by ranges of the hash, and so are null ids.
+    """
+    n = ids.count()
+    k = int(min(most, max(1, n // rows_each)))
+    borders = ids.agg(F.percentile_approx(F.col("doc_id").cast("long"), [(i + 1) / (k + 1) for i in range(k)], 40_000)).first()[0] or []
+    step = max(1, int(len(borders) ** 0.5))
+    groups = [borders[i : i + step] for i in range(0, len(borders), step)]
+    lasts = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    inner = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
+    doc, no_id = F.col("doc_id").cast("long"), F.col("doc_id").isNull()
+    share = F.shiftrightunsigned(F.col("_tie").bitwiseXOR(F.lit(-(1 << 63))), 33) / F.lit(float(1 << 31))  # in the order of the signed hash
+
+    def under(strict: bool) -> Column:
+        """Borders below the id (or up to it): whole groups by their last border, then inside one group."""
+        beneath = (lambda x: x < doc) if strict else (lambda x: x <= doc)
+        whole = F.size(F.filter(lasts, beneath))
+        return whole * step + F.size(F.filter(F.coalesce(F.get(inner, whole), F.array().cast("array<bigint>")), beneath))
+
+    low, high = under(True), under(False)
+    plain = F.when(high - low > 1, low + F.floor(share * (high - low))).otherwise(high)
+    return F.when(no_id, F.floor(share * k)).otherwise(plain).cast("int"), no_id
+
+
+def _sketched(rows: DataFrame, k: int) -> DataFrame:
+    """With the sketch of ``text``; the words are a column of their own, so a text is split once."""
+    return rows.withColumn("_words", word_array(F.col("text"))).withColumn("sketch", sketch_of_words(F.col("_words"), k)).drop("_words")
+
+
+def with_next(docs: DataFrame, k: int = K) -> DataFrame:
+    """(doc_id, text, sketch, next_text, next_sketch): what follows each row; the last row's is the first.
 
-    Rows are dealt into buckets of ``span`` consecutive ids (null ids: by hash), each ordered apart.
-    A bucket's last row gets the first text of the next bucket that has rows; which that is comes
-    from the buckets' numbers alone, dealt by range.  Texts are shuffled once, and a 1 / span share of
-    them again; no task orders more than its share.
+    Rows are dealt into buckets of consecutive ids, each ordered apart, so texts and sketches are shuffled once
+    and a sketch is made once.  A bucket's last row gets the first row of the next bucket; buckets are bounded in number.
     """
-    no_id = F.col("doc_id").isNull()
-    bucket = F.when(no_id, F.shiftright(F.xxhash64("text"), 50)).otherwise(F.shiftright(F.col("doc_id").cast("long"), span.bit_length() - 1))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", no_id.alias("no_id"), bucket.alias("bucket"))
+    bucket, no_id = buckets(docs.select("doc_id"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    rows = rows.select("doc_id", "text", "_tie", no_id.alias("no_id"), bucket.alias("bucket"))
     keys = ["no_id", "bucket"]
-    order = Window.partitionBy(*keys).orderBy("doc_id", "text")
-    lined = rows.select("*", F.lead("text").over(order).alias("follower"), F.row_number().over(order).alias("nth"))
-
-    ranged = rows.select(*keys).distinct().repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
-    along = Window.partitionBy("part").orderBy(*keys)
-    chain = written(ranged.select("part", *keys, F.lead(F.struct(*keys)).over(along).alias("after"), F.row_number().over(along).alias("nth")), "buckets")
-    # One row for each range partition.
-    heads = chain.filter("nth = 1").select("part", F.struct(*keys).alias("head"))
-    turn = heads.select(
-        "part", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("turn")
-    )
-    after = chain.join(F.broadcast(turn), "part").select(*keys, F.coalesce("after", "turn").alias("after")).select(*keys, F.col("after.no_id").alias("a_no_id"), F.col("after.bucket").alias("a_bucket"))
-    firsts = lined.filter("nth = 1").select(F.col("no_id").alias("a_no_id"), F.col("bucket").alias("a_bucket"), F.col("text").alias("first_text"))
-    beyond = after.join(firsts, ["a_no_id", "a_bucket"]).select(*keys, "first_text")
-    return lined.join(beyond, keys, "left").select("doc_id", "text", F.coalesce("follower", "first_text").alias("next_text"))
+    order = Window.partitionBy(*keys).orderBy("doc_id", "_tie", "text")
+    firsts = rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    firsts = written(_sketched(firsts, k).select(*keys, "text", "sketch"), "firsts")
+    # One row for each bucket.
+    along = Window.orderBy(*keys)
+    ring = firsts.select(*keys, F.coalesce(F.lead(F.struct(*keys)).over(along), F.first(F.struct(*keys)).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    heads = firsts.select(F.struct(*keys).alias("after"), F.col("text").alias("head"), F.col("sketch").alias("head_sketch"))
+    beyond = ring.join(heads, "after").drop("after")
+    lined = _sketched(rows, k).select("*", F.lead("text").over(order).alias("follower"), F.lead("sketch").over(order).alias("follower_sketch"))
+    return lined.join(beyond, keys, "left").select("doc_id", "text", "sketch", F.coalesce("follower", "head").alias("next_text"), F.coalesce("follower_sketch", "head_sketch").alias("next_sketch"))
 
 
 def fingerprinted(docs: DataFrame, k: int = K) -> DataFrame:
@@ -103,12 +132,11 @@ def fingerprinted(docs: DataFrame, k: int = K) -> DataFrame:
     next document.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(docs, k).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next_text", F.lit(1), half)))
-    for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"w_{name}", word_array(F.col(name)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[sketch_of_words(F.col(f"w_{name}"), k).alias(f"s_{name}") for name in ("text", "edited", "next_text")])
-    a, b, c = F.col("s_text"), F.col("s_edited"), F.col("s_next_text")
+    rows = rows.withColumn("w_edited", word_array(F.col("edited")))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch_of_words(F.col("w_edited"), k).alias("edited_sketch"))
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", encoded(a).alias("fingerprint"), encoded(b).alias("edited_fingerprint"),
         resemblance(a, b, k).alias("near_edited"), resemblance(a, c, k).alias("near_next"), distinct_shingles(a, k).alias("n_shingles"),

@@ -201,6 +201,22 @@ def test_fingerprints(docs, texts):
     assert row.same and row.whole and row.n == pytest.approx(596, rel=0.4) and row.r == pytest.approx(1 / 3, abs=0.18) and row.c == pytest.approx(0.5, abs=0.25)
 
 
+def test_fingerprints_follow_any_ids(spark, monkeypatch):
+    """Sparse, repeated and null ids, in many buckets: every row but the last is followed by the next."""
+    rows = [(i * 10_000_019 - 4_000_000, f"text of {i}") for i in range(60)] + [(77, f"same id {i}") for i in range(60)] + [(None, f"no id {i}") for i in range(30)]
+    whole = fingerprints.buckets
+    monkeypatch.setattr(fingerprints, "buckets", lambda ids: whole(ids, 5, 40))
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    after = {r.text: r.next_text for r in got}
+    at, seen = rows[0][1], []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    where = {t: (i is None, i or 0) for i, t in rows}
+    assert len(seen) == len(rows) == len(got) and at == rows[0][1]
+    assert [where[t] for t in seen] == sorted(where.values())
+
+
 def test_sharding(docs, texts):
     rows = queries.op5_sharding(docs.sparkSession, SF).collect()
     assert all(r.grown_shard in (r.shard, 40) and r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
