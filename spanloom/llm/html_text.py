@@ -2,11 +2,11 @@
 
 Every page becomes a list of lines, one for each block.  Blocks in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments (by tag, or by a word of class, id or role) are
-left out.  In a page that marks its article or main part, the lines inside it are its text.  In any
-other page, distinct texts are ordered by URL path within their host; of the nearest other texts before
+left out; inside a marked article, only by tag, role or a class that is such a word and no more.  In a page that marks its article
+or main part, the lines inside it are its text.  In any other page, distinct texts are ordered by URL path within their host; of the nearest other texts before
 and after it, the one with the longer common path is its pair; lines are aligned by longest common
 subsequence, and shared ones, the template, are deleted.  Differencing is not used on marked articles: two
-addresses of one article would erase it.
+addresses of one article, and articles with a passage in common, would lose text (figures in the README).
 
 Pages are parsed and written once.  Only hosts, paths and hashes of texts are ordered, by range, so a host with
 most pages is split over tasks; the ends of each range are looked up in the ranges beside it.  Each pair of texts
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from math import isqrt
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .storage import discard, small_batches, written
 
 #: Elements whose content is never text, whose content is never main text, that end a block, that have no end tag.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "input", "dialog", "menu"}
 BLOCK = {
     "address", "article", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -40,35 +41,98 @@ BLOCK = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 MARKED = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|comment|comments|disqus|replies|"
-    r"sidebar|side|related|recommended|share|sharing|social|breadcrumb|breadcrumbs|menu|nav|navbar|navigation|footer|header|masthead|toolbar|pagination|pager|widget)(?:$|[\s_-])",
-    re.I,
-)
+NOISE = (
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices popup modal newsletter subscribe signup comment comments disqus replies "
+    "sidebar related recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer header masthead toolbar pagination pager widget"
+).split()
+_NOISE_WORD = re.compile(rf"(?:{'|'.join(NOISE)})", re.I)
+_NOISE_PART = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(NOISE)})(?:$|[\s_-])", re.I)
 #: Elements that a following start tag of the same kind ends.
 IMPLIED = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_REST = re.compile(r"""[^>"'=]*+(?:[=]\s*+|["'])?""")
+_ATTRIBUTE = re.compile(r"""([^\s"'=>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _SPACE = re.compile(r"\s+")
 
 
-def _noisy(tag: str, attributes: str) -> bool:
+def _noisy(tag: str, attributes: str, marked: bool) -> bool:
     if tag in ASIDE:
         return True
-    if "=" in attributes:
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values)
-            if (name in ("class", "id") and tag not in ("body", "html", "article", "main") and NOISE.search(value)) or (name == "role" and value.lower() in ROLES):
+    if not attributes.strip():
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
+            return True
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            if any(map(_NOISE_WORD.fullmatch, value.split())) if marked else _NOISE_PART.search(value):
                 return True
-            if name == "aria-hidden" and value == "true":
-                return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+    return False
+
+
+class Tags:
+    """Tags of a page, one after the other.  A quote opens a value only behind ``=``.
+
+    Time is linear: where a search for the end of a tag runs out of page, the quotes it opened are kept, and a later
+    search that opens one of them ends there.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> tuple[int | None, int]:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or None and where to go on."""
+        opened: list[int] = []
+        page = self.page
+        while True:
+            m = _REST.match(page, at)
+            at = m.end()
+            if at >= len(page):
+                break
+            if page[at] == ">":
+                return at, at
+            if page[at - 1] == "=" or (m.group().rstrip().endswith("=") and page[at] in "\"'"):
+                if page[at] not in "\"'":
+                    continue
+                close = -1 if at in self.failed else page.find(page[at], at + 1)
+                opened.append(at)
+                if close < 0:
+                    break
+                at = close + 1
+        self.failed.update(opened)
+        return None, opened[0] + 1 if opened else len(page)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it ends an element, name, attributes) of the next tag or comment (no name) from ``at``."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, (close + 3 if close >= 0 else len(page)), False, "", ""
+            if page.startswith("<![CDATA[", start):
+                close = page.find("]]>", start)
+                return start, (close + 3 if close >= 0 else len(page)), False, "", ""
+            if page.startswith(("<!", "<?"), start):
+                close = page.find(">", start)
+                return start, (close + 1 if close >= 0 else len(page)), False, "", ""
+            if m := _NAME.match(page, start):
+                close, go = self.end(m.end())
+                if close is not None:
+                    return start, close + 1, bool(m.group(1)), m.group(2).lower(), page[m.end() : close]
+                at = go
+            else:
+                at = start + 1
+        return None
 
 
 def lines(page: str | None) -> tuple[bool, list[str]]:
     """Whether an article is marked, and the lines: of the article if so, else of all that is not left out."""
     page = page or ""
+    tags = Tags(page)
     stack: list[tuple[str, bool, bool]] = []  # (tag, left out, marked)
+    open_: Counter[str] = Counter()
+    blocks: list[int] = []  # places of block elements in the stack
     out: list[tuple[bool, str]] = []
     piece: list[str] = []
 
@@ -82,34 +146,34 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
         while len(stack) > at:
             if stack[-1][0] in BLOCK or stack[-1][1]:
                 flush()
-            stack.pop()
+            open_[stack.pop()[0]] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
 
     at, n = 0, len(page)
     while at < n:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start() if found else n]
+        found = tags.next(at)
+        text = page[at : found[0] if found else n]
         if text and not (stack and stack[-1][1]):
             piece.append(html.unescape(text))
         if not found:
             break
-        at = found.end()
-        ending, tag, attributes = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
+        _, at, ending, tag, attributes = found
         if not tag:
             continue
         if ending:
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if place is not None:
-                close(place)
+            if open_[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             elif tag in BLOCK and not (stack and stack[-1][1]):
                 flush()
             continue
-        if stack and tag in BLOCK:
+        if tag in BLOCK:
             # A block start ends an open p, li, ... of its own level, with what is open in it.
-            for k in range(len(stack) - 1, -1, -1):
+            for k in reversed(blocks):
                 if tag in IMPLIED.get(stack[k][0], ()):
                     close(k)
                     break
-                if stack[k][0] in BLOCK and stack[k][0] not in ("p",):
+                if stack[k][0] != "p":
                     break
         hidden, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if tag in BLOCK and not hidden:
@@ -124,11 +188,14 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        noisy = hidden or tag == "head" or _noisy(tag, attributes)
+        noisy = hidden or tag == "head" or _noisy(tag, attributes, marked)
         if tag == "header" and marked and not hidden:
             noisy = False  # an article's own header holds its title
         if noisy and not hidden:
             flush()
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        open_[tag] += 1
         stack.append((tag, noisy, marked or tag in MARKED))
     flush()
     found = any(m for m, _ in out)

@@ -447,14 +447,43 @@ def test_html_repeated_pages(spark, ranges):
 
 
 def test_html_articles(spark):
-    rows = queries.op8_html_extraction(spark, SF).collect()
-    for r in rows:
-        html = spark.read.parquet(f"{SF}/pages.parquet").filter(F.col("page_id") == r.page_id).first().html if r.page_id < 5 else None
-        if html:
-            body = re.search(r"<article>(.*)</article>", html, re.S)[1]
-            plain = re.sub(r"<[^>]+>", " ", body).replace("&amp;", "&").replace("&quot;", '"')
-            assert r.text.split() == plain.split()
-    assert len(rows) == 50
+    """Every page against a plain reading of its article element."""
+    import html as entities
+
+    got = {r.page_id: r for r in queries.op8_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for page in pages:
+        body = re.search(r"<article>(.*)</article>", page.html, re.S)[1]
+        blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?b>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
+        text = "\n".join(x for x in blocks if x)
+        assert (got[page.page_id].text, got[page.page_id].n_chars, got[page.page_id].url) == (text, len(text), page.url)
+    assert len(got) == len(pages) == 250
+
+
+def test_html_keeps_what_only_sounds_like_noise():
+    inside = '<p title="the hidden cost">A b.</p><div class="side by side">C d.</div><p>F: <math><mi>E</mi></math> = end.</p><div class="ad">no</div><p hidden>no</p><div class=share>no</div><div class="co-sponsor-tale">T.</div>'
+    assert html_text.lines(f"<article>{inside}</article>") == (True, ["A b.", "C d.", "F: E = end.", "T."])
+    assert html_text.lines("<p a=b c='x>y' d=\"1>2\" e = \"3>4\">t</p><p>a < b & c</p>") == (False, ["t", "a < b & c"])
+
+
+@pytest.mark.parametrize("page", ['<a "x ' * 30_000, '<a b="x ' * 30_001, '<a b="> ' * 30_001, "<a " * 60_000, "<div>" * 20_000 + "</span>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<a b=' c=\" " * 20_001])
+def test_html_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html_text.lines(page)
+    assert time.time() - began < 5
+
+
+def test_html_odd_rows(spark):
+    """Nulls, repeats, a very long page, clashing columns and an empty table."""
+    names = ["host", "path", "key", "pair", "marked", "text", "part"]
+    rows = [(1, None, None), (1, None, None), (None, "http://h/x", "<article><p>a</p></article>"), (3, "http://h/y", ""), (4, "http://h/z", "<article>" + "<p>word &amp; more</p>" * 40_000 + "</article>"), (5, "not a url", "<p>plain</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in names})
+    got = html_text.extract(pages).collect()
+    text = sorted((r.page_id or 0, r.text) for r in got)
+    assert text == [(0, "a"), (1, ""), (1, ""), (3, ""), (4, "\n".join(["word & more"] * 40_000)), (5, "plain")]
+    assert html_text.extract(pages.limit(0)).collect() == []
 
 
 APPLY = {
