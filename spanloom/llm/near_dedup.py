@@ -32,7 +32,7 @@ from .components import components
 from .skew import salted_join
 from .storage import discard, small_batches, written
 
-WORDS, THRESHOLD, BLOCK, COLUMNS = 5, 0.8, 128, 8192
+WORDS, THRESHOLD, BLOCK, BLOCK_BYTES, COLUMNS = 5, 0.8, 128, 1 << 20, 8192
 _NO_ID = (1 << 63) - 1
 
 
@@ -41,7 +41,7 @@ def _key(docs: DataFrame) -> list:
 
 
 def band_rows(docs: DataFrame, m: int = COMPONENTS, k: int = WORDS) -> DataFrame:
-    """did, class and the band hashes (none for a text without words) of every row."""
+    """did, class, size in bytes and the band hashes (none for a text without words) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +54,9 @@ def band_rows(docs: DataFrame, m: int = COMPONENTS, k: int = WORDS) -> DataFrame
                 empty = np.diff(w.bounds) == 0
                 ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, out.shape[1]))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out[~empty].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["did", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), lists], ["did", "class", "size", "bands"])
 
-    return docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "did long, class binary, bands array<long>")
+    return docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "did long, class binary, size long, bands array<long>")
 
 
 def overlap(pairs: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
@@ -126,9 +126,9 @@ def spanning_links(texts: pa.Array, roots: np.ndarray, threshold: float, k: int
 
 
 def cross_links(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between classes of different groups in a bucket, from the written ``placed`` (class, bucket, root).
+    """Links (a, b) between classes of different groups in a bucket, from the written ``placed`` (class, size, bucket, root).
 
-    Members in the bucket's main group and others are cut by hash into blocks of about ``BLOCK`` apart.  Each block of
+    Members in the bucket's main group and others are cut by hash, apart, into blocks of about ``BLOCK`` and ``BLOCK_BYTES``.  Each block of
     others meets each of the main group and each of others in one task, which holds the texts of both, compares all
     pairs and returns links that connect them: no pair is a row, and blocks of the main group do not meet.
     """
@@ -141,11 +141,11 @@ def cross_links(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         ends = [[ids[x[side]] for x in found] for side in (0, 1)]
         return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
 
-    counts = written(placed.groupBy("bucket", "root").agg(F.count("*").alias("n")), "roots")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-    dealt = sizes.select("bucket", F.col("top.root").alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("n") - F.col("top.n")).alias("others"))
-    rows = salted_join(placed, dealt, "bucket", ["class"], sizes.select("bucket", "n"))
+    counts = written(placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "roots")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("top"))
+    dealt = sizes.select("bucket", F.col("top.root").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("mains"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others"))
+    rows = salted_join(placed.drop("size"), dealt, "bucket", ["class"], sizes.select("bucket", "n"))
     rows = rows.withColumn("inside", F.col("root") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     task = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
@@ -158,8 +158,8 @@ def cross_links(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
 def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A written table with (id, root) of the classes that have a near duplicate, from the written ``rows`` of :func:`band_rows`."""
-    classes = rows.groupBy("class").agg(F.first("bands").alias("bands"), F.min("did").alias("did"))
-    banded = classes.select("class", "did", F.explode("bands").alias("bucket"))
+    classes = rows.groupBy("class").agg(F.first("bands").alias("bands"), F.min("did").alias("did"), F.max("size").alias("size"))
+    banded = classes.select("class", "did", "size", F.explode("bands").alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(salted_join(banded, shared, "bucket", ["class"], shared), "members")
     asked = members.select("did", "class").distinct()
@@ -175,7 +175,7 @@ def class_groups(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD)
     found = components(links)
 
     groups_of = found.select(F.col("id").alias("class"), "root")
-    placed = members.select("class", "bucket", "n").join(groups_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = members.select("class", "size", "bucket", "n").join(groups_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("n")).filter("one < two").select("bucket", "n")
     mixed = written(mixed, "mixed")
     open_ = written(salted_join(placed.drop("n"), mixed.select("bucket"), "bucket", ["class"], mixed), "open")
