@@ -30,6 +30,7 @@ SENTENCES, MIN_WORDS, PIECE = 3, 20, 16
 _NO_ID = (1 << 63) - 1
 _OWN = ("text", "places", "every")
 _SECOND = np.uint64(0xA0761D6478BD642F)
+_GROUP = 1 << 20  # bytes of texts worked on at once
 _SHIFT = 20  # of a run's first sentence, beside their number
 
 
@@ -91,7 +92,7 @@ def spans(docs: DataFrame, *rule: int) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             did, row = (batch.column(c).to_numpy() for c in (0, 1))
-            for i, j in groups(offsets):
+            for i, j in groups(offsets, _GROUP):
                 r = Runs(data, offsets[i : j + 1], *rule)
                 new = ~r.run_again
                 doc, at, to = r.run_doc[new], r.run_at[new], r.run_to[new]
@@ -112,7 +113,7 @@ def without_runs(docs: DataFrame, *rule: int) -> DataFrame:
             data, offsets = utf8(column)
             nulls = column.is_null().to_numpy(zero_copy_only=False)
             every = batch.column(names.index("every")).to_numpy(zero_copy_only=False)
-            for i, j in groups(offsets):
+            for i, j in groups(offsets, _GROUP):
                 r = Runs(data, offsets[i : j + 1], *rule)
                 cover = np.zeros(len(r.first) + 1, np.int64)
                 again = r.run_again | every[i + r.run_doc]
