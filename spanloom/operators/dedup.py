@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..sources.store import KEYS, ORDER
 
+TIE = ("timestamp_start", "timestamp_end", "input_tokens", "output_tokens")
+
 
 def first_rows(rows: DataFrame, keys: list[str] = KEYS, order: list[str] = ORDER, last: bool = False) -> DataFrame:
-    """``last`` keeps the latest version instead.  Null keys form a group like any other."""
-    by = [F.col(c).desc() if last else F.col(c) for c in order]
+    """``last`` keeps the latest version instead.  Null keys form a group like any other.
+
+    Rows that tie in ``order`` are told apart by a hash of what most tells versions apart, so a page reads few columns.
+    """
+    tie = F.xxhash64(*[c for c in TIE if c in rows.columns])
+    by = [x.desc() if last else x for x in (*[F.col(c) for c in order if c in rows.columns], tie)]
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("_nth = 1").drop("_nth")
 
 

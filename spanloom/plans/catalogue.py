@@ -27,7 +27,7 @@ ORACLES: dict[str, str] = {}
 
 _SPANS = SPANS_SQL.format(lineitem="lineitem", orders="orders")
 D = f"""with spans as ({_SPANS}),
-d as (select * exclude nth from (select *, row_number() over (partition by project_id, trace_id, span_id order by ingested_at, tb5, tb1, tb2, tb3, tb4) nth from spans) where nth = 1),
+d as (select * exclude nth from (select *, row_number() over (partition by project_id, trace_id, span_id order by ingested_at, ingest_seq) nth from spans) where nth = 1),
 used as (select * from spans where input_tokens + output_tokens > 0)"""
 
 
@@ -39,17 +39,20 @@ def roots(rows: str) -> str:
       and not exists (select 1 from used c where c.project_id = g.project_id and c.trace_id = g.trace_id and c.span_id = g.parent_span_id)))"""
 
 
-_TOTALS = "cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens, cast(sum(input_tokens + output_tokens) as bigint) total_tokens, cast(sum(cost_total) as double) total_cost"
-_ZEROS = "coalesce(u.input_tokens, 0) input_tokens, coalesce(u.output_tokens, 0) output_tokens, coalesce(u.total_tokens, 0) total_tokens, coalesce(u.total_cost, 0.0) total_cost"
+_SUMS = {c: "bigint" for c in "input_tokens output_tokens total_tokens cache_read_tokens cache_write_tokens reasoning_tokens".split()} | {"input_cost": "cost_input", "output_cost": "cost_output", "total_cost": "cost_total"}
+_TOTALS = ", ".join(f"cast(sum({n if t == 'bigint' else t}) as {t if t == 'bigint' else 'double'}) {n}" for n, t in _SUMS.items())
+_ZEROS = ", ".join(f"coalesce(u.{n}, {'0' if t == 'bigint' else '0.0'}) {n}" for n, t in _SUMS.items()) + ", 0.0::double cache_read_cost, 0.0::double cache_write_cost, 0.0::double reasoning_cost"
 
 
-def _first(c: str, where: str = "true") -> str:
-    return f"first({c} order by timestamp_start, span_id) filter (where {c} is not null and {where})"
+def _first(c: str, where: str = "true", way: str = "") -> str:
+    return f"first({c} order by timestamp_start {way}, span_id {way}) filter (where {c} is not null and {where})"
 
 
 _TRACE = f"""select project_id, trace_id, coalesce({_first('span_name', 'parent_span_id is null')}, {_first('span_name')}) trace_name,
  min(timestamp_start) start_time, max(coalesce(timestamp_end, timestamp_start)) end_time, {_first('session_id')} session_id, {_first('user_id')} user_id, {_first('environment')} environment,
  count(*) span_count, count(*) filter (where observation_type <> 'span') observation_count, coalesce(bool_or(status_code = 'ERROR'), false) has_error,
+ list_sort(list_distinct(flatten(list(tags)))) tags, {_first('metadata', 'parent_span_id is null')} metadata, coalesce({_first('input_preview', 'parent_span_id is null')}, {_first('input_preview')}) input_preview,
+ coalesce({_first('output_preview', 'parent_span_id is null')}, {_first('output_preview', way='desc')}) output_preview,
  epoch_ms(max(coalesce(timestamp_end, timestamp_start))) - epoch_ms(min(timestamp_start)) duration_ms"""
 _SESSION = f"""select project_id, session_id, {_first('user_id')} user_id, {_first('environment')} environment, min(timestamp_start) start_time, max(coalesce(timestamp_end, timestamp_start)) end_time,
  count(distinct trace_id) trace_count, count(*) span_count, count(*) filter (where observation_type <> 'span') observation_count,
@@ -145,6 +148,21 @@ def list_traces_genai_only(spark, sf):
     return tr.list_traces(spans(spark, sf), order="duration_ms", descending=False, limit=200, genai_only=True)
 
 
+@query(f"{D} select count(*) total from (select distinct project_id, trace_id from d where environment = '1-URGENT' and input_tokens > 40)")
+def list_traces_total(spark, sf):
+    return tr.count_traces(spans(spark, sf), (F.col("environment") == "1-URGENT") & (F.col("input_tokens") > 40))
+
+
+@query(f"with spans as ({_SPANS}) select count(*) total from (select distinct project_id, session_id from spans where session_id is not null)")
+def list_sessions_total(spark, sf):
+    return tr.count_sessions(spans(spark, sf))
+
+
+@query(traces_sql("project_id = 'p1'", "order by start_time desc, project_id, trace_id limit 50"))
+def list_traces_of_project(spark, sf):
+    return tr.list_traces(spans(spark, sf), project="p1")
+
+
 def _some(spark, sf) -> tuple[str, str, str]:
     r = spans(spark, sf).filter("session_id is not null").orderBy("trace_id").select("project_id", "trace_id", "session_id").first()
     return r[0], r[1], r[2]
@@ -490,7 +508,7 @@ def _replayed(spark, sf) -> DataFrame:
     return fd.blocks(rows).withColumn("is_history", F.lit(False))
 
 
-_REPLAY = """with r as (select 'c' || c.conv_id trace_id, 's' || t.turn span_id, cast(c.turn as bigint) message_index, c.role, c.text, c.turn = t.turn is_output, cast(t.turn as bigint) as time from (select conv_id, turn from conversations where turn < 6) t join conversations c on c.conv_id = t.conv_id and c.turn <= t.turn),
+_REPLAY = """with r as (select 'c' || c.conv_id trace_id, 's' || t.turn span_id, cast(c.turn as bigint) message_index, c.role, c.text, c.turn = t.turn is_output, cast(t.turn as bigint) as time from conversations t join conversations c on c.conv_id = t.conv_id and c.turn <= t.turn),
 l as (select *, unnest(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)) block_text, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0), 1) - 1 entry_index from r),
 h as (select *, row_number() over (partition by trace_id, role, trim(block_text) order by is_output desc, time, span_id, message_index, entry_index) > 1 is_history from l)"""
 _BLOCK = "trace_id, span_id, message_index, entry_index, role, is_history"
@@ -511,7 +529,7 @@ def feed_dedup(spark, sf):
     return fd.deduplicated(fd.duplicate_history(_replayed(spark, sf))).select(*_BLOCK.split(", "))
 
 
-@query(f"{_REPLAY}, o as (select * from h where not is_history order by time, span_id, message_index, entry_index, trace_id limit 500) select {_BLOCK} from o")
+@query(f"{_REPLAY}, o as (select * from h where not is_history order by time, span_id, message_index, entry_index, trace_id) select {_BLOCK} from o")
 def feed_order(spark, sf):
     return fd.deduplicated(fd.duplicate_history(_replayed(spark, sf))).orderBy(*fd.ORDER, "trace_id").select(*_BLOCK.split(", "))
 
@@ -615,7 +633,8 @@ def message_dialects(spark, sf):
     return rows.select("conv_id", "turn", F.col("x.dialect").alias("dialect"), F.size("x.messages").alias("n_messages"))
 
 
-@query("select conv_id, turn, role, text from conversations where text <> '' and turn % 5 < 3")
+@query("""select conv_id, turn, role, text from conversations where text <> '' and turn % 5 < 3
+ union all select conv_id, turn, 'tool_call', '{}' from conversations where text <> '' and turn % 5 = 3 union all select conv_id, turn, 'tool', text from conversations where text <> '' and turn % 5 = 3""")
 def message_array_expand(spark, sf):
     rows = _message_spans(spark, sf).select("conv_id", "turn", F.explode(ms.extracted(F.col("attributes"), F.col("span_name"), F.col("events"))["messages"]).alias("m"))
     one = rows.select("conv_id", "turn", F.explode(ms.expand(F.col("m.source"), F.col("m.content"))).alias("m"))
