@@ -169,3 +169,111 @@ def preview(texts: Column, chars: int = 200) -> Column:
     """The last non-empty text, trimmed and cut."""
     last = F.trim(F.element_at(F.filter(texts, lambda x: F.length(F.trim(x)) > 0), -1))
     return F.when(F.length(last) > chars, F.concat(F.substring(last, 1, chars), F.lit("..."))).otherwise(last)
+
+
+#: Where columns of the span table come from; the first key that is present gives the value.
+TEXT_FIELDS = {
+    "gen_ai_system": ("gen_ai.provider.name", "gen_ai.system", "az.ai.inference.model_provider", "ai.model.provider", "llm.provider"),
+    "gen_ai_operation_name": ("gen_ai.operation.name",),
+    "gen_ai_request_model": ("gen_ai.request.model", "ai.model.id", "llm.model_name", "embedding.model_name", "reranker.model_name"),
+    "gen_ai_response_model": ("gen_ai.response.model", "llm.response.model"),
+    "gen_ai_response_id": ("gen_ai.response.id",),
+    "gen_ai_agent_id": ("gen_ai.agent.id", "aws.bedrock.agent.id"),
+    "gen_ai_agent_name": ("gen_ai.agent.name", "agent_role", "recipient_agent_class", "sender_agent_class"),
+    "gen_ai_tool_name": ("gen_ai.tool.name", "tool.name", "tool_name", "logfire.msg"),
+    "gen_ai_tool_call_id": ("gen_ai.tool.call.id",),
+    "http_method": ("http.method", "http.request.method"),
+    "http_url": ("http.url", "url.full"),
+    "db_system": ("db.system",),
+    "db_name": ("db.name",),
+    "db_operation": ("db.operation",),
+    "db_statement": ("db.statement",),
+    "storage_system": ("cloud.provider",),
+    "storage_bucket": ("aws.s3.bucket", "gcp.gcs.bucket"),
+    "storage_object": ("aws.s3.key", "gcp.gcs.object"),
+    "messaging_system": ("messaging.system",),
+    "messaging_destination": ("messaging.destination", "messaging.destination.name"),
+}
+#: Request parameters: key, names in the JSON of invocation parameters, type.
+PARAMETERS = {
+    "gen_ai_temperature": ("gen_ai.request.temperature", ("temperature",), "double"),
+    "gen_ai_top_p": ("gen_ai.request.top_p", ("top_p",), "double"),
+    "gen_ai_top_k": ("gen_ai.request.top_k", ("top_k",), "long"),
+    "gen_ai_max_tokens": ("gen_ai.request.max_tokens", ("max_tokens", "max_output_tokens"), "long"),
+    "gen_ai_frequency_penalty": ("gen_ai.request.frequency_penalty", ("frequency_penalty",), "double"),
+    "gen_ai_presence_penalty": ("gen_ai.request.presence_penalty", ("presence_penalty",), "double"),
+    "gen_ai_server_ttft_ms": ("gen_ai.server.time_to_first_token", (), "long"),
+    "gen_ai_server_request_duration_ms": ("gen_ai.server.request_duration", (), "long"),
+}
+TAG_KEYS = ("tags", "langsmith.tags", "tag.tags")
+ENVIRONMENT_KEYS = ("deployment.environment", "deployment.environment.name")
+#: Most bytes of an exception's type and message, and of its stack trace.
+MESSAGE_BYTES, TRACE_BYTES = 2048, 16_384
+
+
+def _json(a: Column, key: str, *paths: str) -> Column:
+    """The first of some places in the JSON of an attribute."""
+    return F.coalesce(*[F.nullif(F.get_json_object(get(a, key), p), F.lit("")) for p in paths])
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` UTF-8 bytes that ends between characters."""
+    data = text.cast("binary")
+    inside = lambda at: F.hex(F.substring(data, at, 1)).rlike("^[89AB]")  # noqa: E731  a byte inside a character
+    n = F.when(~inside(most + 1), most).when(~inside(most), most - 1).when(~inside(most - 1), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substr(data, F.lit(1), n), "UTF-8"))
+
+
+def finish_reasons(a: Column, events: Column) -> Column:
+    """Reasons from the attribute, else the first choice event, completion JSON, output messages, or a provider's response."""
+    listed = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+    said = F.filter(events, lambda e: (e["name"] == "gen_ai.choice") & F.try_element_at(e["attributes"], F.lit("finish_reason")).isNotNull())
+    choices = F.from_json(F.get_json_object(get(a, "gen_ai.completion"), "$.choices"), "array<struct<finish_reason: string>>")
+    outputs = F.from_json(get(a, "gen_ai.output.messages"), "array<struct<finish_reason: string>>")
+    reasons = lambda c: F.filter(F.transform(c, lambda x: x["finish_reason"]), lambda x: x.isNotNull())
+    some = lambda c: F.when(F.size(c) > 0, c)
+    one = lambda c: F.when(c.isNotNull(), F.array(c))
+    return F.coalesce(
+        some(listed(get(a, "gen_ai.response.finish_reasons"))), one(F.try_element_at(F.get(said, 0)["attributes"], F.lit("finish_reason"))), some(reasons(choices)), some(F.slice(reasons(outputs), 1, 1)),
+        one(F.lower(_json(a, "gcp.vertex.agent.llm_response", "$.finish_reason"))), one(_json(a, "response_data", "$.finish_reason")), F.array().cast("array<string>"),
+    )
+
+
+def stored_fields(a: Column, name: Column, events: Column, resource: Column, status: Column, message: Column) -> dict[str, Column]:
+    """The columns of the span table that come from attributes, events, resource and status."""
+    out = {c: get(a, *keys) for c, keys in TEXT_FIELDS.items()}
+    asked = get(a, "request_data").isNotNull()
+    has = lambda path: _json(a, "request_data", path).isNotNull()
+    out["gen_ai_request_model"] = F.coalesce(out["gen_ai_request_model"], _json(a, "gcp.vertex.agent.llm_request", "$.model"), _json(a, "crew_agents", "$[0].llm"), _json(a, "request_data", "$.model"))
+    out["gen_ai_system"] = F.coalesce(out["gen_ai_system"], F.when(asked & has("$.system"), "anthropic").when(asked & has("$.messages"), "openai"))
+    out["gen_ai_operation_name"] = F.coalesce(out["gen_ai_operation_name"], F.when(asked & has("$.messages"), "chat"))
+    out["gen_ai_tool_name"] = F.coalesce(out["gen_ai_tool_name"], F.when(name.startswith("execute_tool "), F.substring(name, 14, 1 << 20)))
+    for c, (key, names, kind) in PARAMETERS.items():
+        own = get(a, key).try_cast(kind)
+        more = [F.get_json_object(get(a, "llm.invocation_parameters"), f"$.{n}").try_cast(kind) for n in names]
+        if c == "gen_ai_max_tokens":
+            more += [_json(a, "request_data", "$.max_tokens", "$.max_completion_tokens").try_cast(kind)]
+        out[c] = F.coalesce(own, *more)
+    out["gen_ai_stop_sequences"] = F.coalesce(F.from_json(get(a, "gen_ai.request.stop_sequences"), "array<string>"), F.array().cast("array<string>"))
+    out["gen_ai_finish_reasons"] = finish_reasons(a, events)
+    out["http_status_code"] = get(a, "http.status_code", "http.response.status_code").try_cast("int")
+    out["tags"] = tags(*[get(a, k) for k in TAG_KEYS])
+    metadata = get(a, "metadata")
+    out["metadata"] = F.when(F.try_parse_json(metadata).isNotNull(), metadata)
+    out["usage_details"] = F.nullif(usage_details(a), F.lit("{}"))
+    out["environment"] = F.coalesce(get(resource, *ENVIRONMENT_KEYS), get(a, *ENVIRONMENT_KEYS))
+    failed = (status != "ERROR") & F.coalesce(F.lower(get(a, "gen_ai.tool.status")).isin("error", "failed"), F.lit(False))
+    out["status_code"] = F.when(failed, "ERROR").otherwise(status)
+    first = F.get(F.filter(events, lambda e: e["name"] == "exception"), 0)["attributes"]
+    of = lambda key, most: F.when((status == "ERROR") | failed, cut_bytes(F.nullif(F.try_element_at(first, F.lit(key)), F.lit("")), most))
+    kind = of("exception.type", MESSAGE_BYTES)
+    said = F.coalesce(of("exception.message", MESSAGE_BYTES), F.when(failed, "Tool execution failed"))
+    out["exception_type"], out["exception_message"], out["exception_stacktrace"] = kind, said, of("exception.stacktrace", TRACE_BYTES)
+    out["status_message"] = F.coalesce(F.nullif(message, F.lit("")), F.when(failed, "Tool execution failed"), F.nullif(F.concat_ws(": ", kind, said), F.lit("")))
+    return out
+
+
+def display_name(a: Column, name: Column) -> Column:
+    """A template as span name gives way to the resolved name beside it."""
+    resolved = F.nullif(get(a, "logfire.msg"), F.lit(""))
+    return F.when(get(a, "logfire.msg_template").isNotNull(), F.coalesce(resolved, name)).otherwise(name)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, arrayValue: string, kvlistValue: string, bytesValue: string>"
 ATTRIBUTES = f"array<struct<key: string, value: {VALUE}>>"
 EVENT = f"struct<name: string, timeUnixNano: string, attributes: {ATTRIBUTES}>"
-LINK = f"struct<traceId: string, spanId: string, attributes: {ATTRIBUTES}>"
-SPAN = f"struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: int, startTimeUnixNano: string, endTimeUnixNano: string, attributes: {ATTRIBUTES}, events: array<{EVENT}>, links: array<{LINK}>, status: struct<code: int, message: string>>"
+LINK = f"struct<traceId: string, spanId: string, traceState: string, attributes: {ATTRIBUTES}>"
+SPAN = f"struct<traceId: string, spanId: string, parentSpanId: string, traceState: string, name: string, kind: int, startTimeUnixNano: string, endTimeUnixNano: string, attributes: {ATTRIBUTES}, events: array<{EVENT}>, links: array<{LINK}>, status: struct<code: int, message: string>>"
+#: Kinds of spans by their number.
+KINDS = ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
 REQUEST = f"resourceSpans array<struct<resource: struct<attributes: {ATTRIBUTES}>, scopeSpans: array<struct<scope: struct<name: string>, spans: array<{SPAN}>>>>>"
 BUCKETS = "struct<offset: int, bucketCounts: array<string>>"
 EXEMPLAR = f"struct<timeUnixNano: string, asInt: string, asDouble: double, traceId: string, spanId: string, filteredAttributes: {ATTRIBUTES}>"
@@ -77,11 +79,23 @@ def attribute_map(attributes: Column, nested: Column) -> Column:
     raw = lambda v: F.lower(F.hex(F.try_to_binary(v["bytesValue"], F.lit("base64"))))
     text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), F.try_element_at(nested, _wire(v)), raw(v))
     entries = F.coalesce(attributes, F.array().cast(ATTRIBUTES))
-    return F.map_from_entries(F.transform(F.filter(entries, lambda e: e["key"].isNotNull()), lambda e: F.struct(e["key"], text(e["value"]))))
+    named = F.filter(entries, lambda e: e["key"].isNotNull())
+    keys = F.transform(named, lambda e: e["key"])
+    once = F.array_distinct(keys)
+    # repeated keys are rare; only then is each key's last entry searched
+    last = F.transform(once, lambda k: text(F.element_at(F.filter(named, lambda e: e["key"] == k), -1)["value"]))
+    values = F.when(F.size(once) == F.size(keys), F.transform(named, lambda e: text(e["value"]))).otherwise(last)
+    return F.map_from_arrays(once, values)
 
 
 def nanos(text: Column) -> Column:
-    return F.timestamp_micros((text.cast("decimal(20,0)") / 1000).cast("long"))
+    """Null for a text that is no number."""
+    return F.timestamp_micros((text.try_cast("decimal(20,0)") / 1000).cast("long"))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each, so that no later expression computes a column of them again."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
 
 
 def spans(requests: DataFrame) -> DataFrame:
@@ -91,18 +105,20 @@ def spans(requests: DataFrame) -> DataFrame:
     x = s.select("project_id", "resource", F.explode("s.spans").alias("x"))
     events = F.coalesce("x.events", F.array().cast(f"array<{EVENT}>"))
     said = F.flatten(F.transform(events, lambda e: F.coalesce(e["attributes"], F.array().cast(ATTRIBUTES))))
-    x = x.withColumn("nested", nested_texts(F.col("x.attributes"), said))
+    linked = F.flatten(F.transform(F.coalesce("x.links", F.array().cast(f"array<{LINK}>")), lambda k: F.coalesce(k["attributes"], F.array().cast(ATTRIBUTES))))
+    x = x.withColumn("nested", nested_texts(F.col("x.attributes"), said, linked))
     nested = F.col("nested")
     start, end = F.col("x.startTimeUnixNano"), F.nullif(F.col("x.endTimeUnixNano"), F.lit("0"))
-    return x.select(
+    return settled(x.select(
         "project_id", F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"), F.nullif(F.lower("x.parentSpanId"), F.lit("")).alias("parent_span_id"), F.col("x.name").alias("span_name"),
+        F.nullif("x.traceState", F.lit("")).alias("trace_state"), F.coalesce(F.get(F.array(*map(F.lit, KINDS)), F.col("x.kind")), F.lit("UNSPECIFIED")).alias("span_kind"), F.col("x.status.message").alias("status_message"),
         nanos(start).alias("timestamp_start"), nanos(end).alias("timestamp_end"),
-        F.coalesce(F.expr("(cast(nullif(x.endTimeUnixNano, '0') as bigint) - cast(x.startTimeUnixNano as bigint)) div 1000000"), F.lit(0)).alias("duration_ms"),
+        F.coalesce(F.expr("(try_cast(nullif(x.endTimeUnixNano, '0') as bigint) - try_cast(x.startTimeUnixNano as bigint)) div 1000000"), F.lit(0)).alias("duration_ms"),
         F.when(F.col("x.status.code") == 2, "ERROR").when(F.col("x.status.code") == 1, "OK").otherwise("UNSET").alias("status_code"),
         "resource", attribute_map(F.col("x.attributes"), nested).alias("attributes"),
-        F.transform(events, lambda e: F.struct(e["name"].alias("name"), attribute_map(e["attributes"], nested).alias("attributes"))).alias("events"),
-        F.to_json("x.links").alias("links"),
-    )
+        F.transform(events, lambda e: F.struct(e["name"].alias("name"), nanos(e["timeUnixNano"]).alias("timestamp"), attribute_map(e["attributes"], nested).alias("attributes"))).alias("events"),
+        F.transform(F.coalesce("x.links", F.array().cast(f"array<{LINK}>")), lambda k: F.struct(F.lower(k["traceId"]).alias("trace_id"), F.lower(k["spanId"]).alias("span_id"), k["traceState"].alias("trace_state"), attribute_map(k["attributes"], nested).alias("attributes"))).alias("links"),
+    ))
 
 
 def metrics(requests: DataFrame) -> DataFrame:
@@ -136,11 +152,15 @@ def metrics(requests: DataFrame) -> DataFrame:
 
 
 def enriched(rows: DataFrame) -> DataFrame:
-    """Spans with framework, category, observation type, tokens and exception fields from their attributes."""
+    """Spans with every column of the span table that attributes, events and resource give."""
     from . import classify as c
 
-    a, name = F.col("attributes"), F.col("span_name")
-    return rows.withColumns({"framework": c.framework(a, name, F.col("resource")), "category": c.category(a, name), "observation_type": c.observation_type(a, name), "session_id": c.session_id(a), "user_id": c.user_id(a), "gen_ai_request_model": c.get(a, "gen_ai.request.model", "llm.model_name"), **c.tokens(a), **c.exception_fields(F.col("events"))})
+    rows = rows.withColumn("_name", F.col("span_name"))
+    a, name, raw = F.col("attributes"), F.col("span_name"), F.col("_name")
+    status, message = (F.col(x) if x in rows.columns else F.lit(None).cast("string") for x in ("status_code", "status_message"))
+    rows = rows.withColumn("span_name", c.display_name(a, raw))
+    found = {"framework": c.framework(a, raw, F.col("resource")), "span_category": c.category(a, raw), "observation_type": c.observation_type(a, raw), "session_id": c.session_id(a), "user_id": c.user_id(a)}
+    return settled(rows.withColumns(found | c.tokens(a) | c.stored_fields(a, raw, F.col("events"), F.col("resource"), status, message)).drop("_name"))
 
 
 def with_messages(rows: DataFrame) -> DataFrame:
@@ -149,3 +169,31 @@ def with_messages(rows: DataFrame) -> DataFrame:
 
     found = rows.withColumn("_found", m.extracted(F.col("attributes"), F.col("span_name"), F.col("events")))
     return found.withColumns({c: F.col(f"_found.{c}") for c in ("dialect", "messages", "tools", "tool_names", "input_preview", "output_preview")}).drop("_found")
+
+
+def with_costs(rows: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Costs by the price of the response's model, else the request's; where that gives none, those the span itself reports."""
+    from . import classify as c
+    from .pricing import PARTS, priced
+
+    a = F.col("attributes")
+    told = lambda key: F.coalesce(c.get(a, key).try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+    reported = {"cost_total": told("llm.cost.total"), "cost_input": told("llm.cost.prompt"), "cost_output": told("llm.cost.completion")}
+    reported |= {x: F.lit(0).cast("decimal(18,6)") for x in PARTS if x not in reported}
+    reported = {x: F.when(c.get(a, "llm.cost.total").try_cast("double").isNotNull(), v).otherwise(F.lit(0).cast("decimal(18,6)")) for x, v in reported.items()}
+    if prices is None:
+        return rows.withColumns(reported)
+    asked = rows.withColumns({"system": F.col("gen_ai_system"), "model": F.coalesce("gen_ai_response_model", "gen_ai_request_model")})
+    out = priced(asked, prices).drop("system", "model", "confidence")
+    return out.withColumns({x: F.when(F.col("cost_total") > 0, F.col(x)).otherwise(v) for x, v in reported.items()})
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows of the span table: nested columns as JSON, only the columns of its schema."""
+    from ..sources.store import SCHEMA, conformed
+
+    as_json = {"messages_json": "messages", "tool_definitions_json": "tools", "tool_names_json": "tool_names", "attributes_json": "attributes", "resource_attributes": "resource"}
+    texts = {to: F.to_json(of) for to, of in as_json.items() if of in rows.columns}
+    texts |= {x: F.to_json(x, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}) for x in ("events", "links")}
+    raw = F.to_json(F.struct("trace_id", "span_id", "parent_span_id", F.col("span_name").alias("name"), "attributes", F.struct(F.col("resource").alias("attributes")).alias("resource")))
+    return conformed(rows.withColumns(texts | {"raw_span": raw})).select(*SCHEMA)

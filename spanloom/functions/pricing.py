@@ -15,6 +15,8 @@ PROVIDERS = {
 }
 REGION = "^(global|us|eu|ap|me|sa|ca|af|il|mx)\\.(?=.)"
 ROUTING = ":(free|extended|nitro|beta|thinking|exacto)$"
+#: The parts of a cost, and their sum.
+PARTS = ("cost_input", "cost_output", "cost_cache_read", "cost_cache_write", "cost_reasoning", "cost_total")
 #: Confidence of an exact name, a provider's prefix, an alias, a family.
 EXACT, PREFIX, ALIAS, FAMILY = 1.0, 0.95, 0.85, 0.70
 
@@ -51,7 +53,7 @@ def candidates(system: Column, model: Column) -> Column:
 
 
 def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """``rows`` (system, model, token counts) with cost and confidence; unknown models cost 0.
+    """``rows`` (system, model, token counts) with the parts of the cost, their sum and confidence; unknown models cost 0.
 
     Each distinct model is looked up once.  The price table is joined by its own size.  Columns for cached and
     reasoning tokens, and their prices, may be missing.
@@ -64,8 +66,15 @@ def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
     usable = prices.filter("(input_cost > 0 or output_cost > 0) and input_cost >= 0 and output_cost >= 0").select(F.lower("price_model").alias("_name"), F.lower("mode").alias("mode"), *[e.alias(n) for n, e in fields.items()])
     hit = models.join(usable, F.col("c.name") == F.col("_name")).groupBy("system", "model").agg(F.min_by(F.struct("i", "o", "r", "w", "t", "mode", F.col("c.confidence").alias("confidence")), "priority").alias("p"))
     keys = [F.col("a.system").eqNullSafe(F.col("h.system")), F.col("a.model").eqNullSafe(F.col("h.model"))]
+    rows = rows.drop(*PARTS)
     joined = rows.alias("a").join(hit.alias("h"), keys, "left")
     count = lambda c: F.greatest(F.coalesce(F.col("a." + c), F.lit(0)), F.lit(0)) if c in rows.columns else F.lit(0)
-    generated = count("output_tokens") * F.col("h.p.o") + count("reasoning_tokens") * F.col("h.p.t")
-    cost = count("input_tokens") * F.col("h.p.i") + F.when(F.col("h.p.mode") == "embedding", 0.0).otherwise(generated) + count("cache_read_tokens") * F.col("h.p.r") + count("cache_write_tokens") * F.col("h.p.w")
-    return joined.select("a.*", F.coalesce(cost, F.lit(0.0)).cast("decimal(18,6)").alias("cost_total"), F.coalesce(F.col("h.p.confidence"), F.lit(0.0)).alias("confidence"))
+    none = F.lit(0.0)
+    embedding = F.col("h.p.mode") == "embedding"
+    parts = {
+        "cost_input": count("input_tokens") * F.col("h.p.i"), "cost_output": F.when(embedding, none).otherwise(count("output_tokens") * F.col("h.p.o")), "cost_cache_read": count("cache_read_tokens") * F.col("h.p.r"),
+        "cost_cache_write": count("cache_write_tokens") * F.col("h.p.w"), "cost_reasoning": F.when(embedding, none).otherwise(count("reasoning_tokens") * F.col("h.p.t")),
+    }
+    money = lambda c: F.coalesce(c, none).cast("decimal(18,6)")
+    total = parts["cost_input"] + parts["cost_output"] + parts["cost_cache_read"] + parts["cost_cache_write"] + parts["cost_reasoning"]
+    return joined.select("a.*", *[money(v).alias(c) for c, v in parts.items()], money(total).alias("cost_total"), F.coalesce(F.col("h.p.confidence"), none).alias("confidence"))

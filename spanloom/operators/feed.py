@@ -39,11 +39,6 @@ def duplicate_history(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_history", F.col("is_history") | (F.row_number().over(best) > 1))
 
 
-def timestamp_history(rows: DataFrame) -> DataFrame:
-    """Blocks older than the start of their span, which is not a root, repeat an earlier turn."""
-    return rows.withColumn("is_history", F.col("is_history") | (F.col("parent_span_id").isNotNull() & (F.col("time") < F.col("span_start"))))
-
-
 def deduplicated(rows: DataFrame) -> DataFrame:
     """One row for each identity: history only where there is nothing else is dropped, then the best quality stays."""
     same = Window.partitionBy("trace_id", "role", "content_hash")
@@ -58,12 +53,21 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*ORDER)
 
 
+def error_text(kind: Column, message: Column, trace: Column) -> Column:
+    """Type and message, and the stack trace as a block behind them; null if there is none of them."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    head = F.nullif(F.concat_ws(": ", some(kind), some(message)), F.lit(""))
+    block = F.concat(F.lit("```\n"), some(trace), F.lit("\n```"))
+    return F.nullif(F.concat_ws("\n\n", head, block), F.lit(""))
+
+
 def leaf_errors(spans: DataFrame) -> DataFrame:
-    """Spans in error without a child in error in the same trace, with a message of it."""
+    """Spans in error without a child in error in the same trace, with the text of their exception; those without one say nothing."""
+    keys = ["project_id", "trace_id", "span_id"]
     bad = spans.filter("status_code = 'ERROR'")
-    child = bad.select("trace_id", F.col("parent_span_id").alias("span_id")).filter("span_id is not null").distinct()
-    leaf = bad.join(child, ["trace_id", "span_id"], "left_anti")
-    return leaf.select("trace_id", "span_id", F.concat_ws(": ", F.lit("Error"), "span_name").alias("text"))
+    child = bad.select("project_id", "trace_id", F.col("parent_span_id").alias("span_id")).filter("span_id is not null").distinct()
+    said = bad.withColumn("text", error_text(F.col("exception_type"), F.col("exception_message"), F.col("exception_stacktrace"))).filter("text is not null")
+    return said.join(child, keys, "left_anti").select(*keys, F.coalesce("timestamp_end", "timestamp_start").alias("time"), "text")
 
 
 #: Events that bring output and input of a model, and attributes of each direction.
@@ -156,16 +160,31 @@ def quality(rows: DataFrame) -> Column:
     return out
 
 
+def completes(rows: DataFrame) -> Column:
+    """Whether a block stands at the end of its span."""
+    return (F.col("kind") != "tool_use") & (F.col("protected") | ((F.col("kind") == "tool_result") & (F.col("observation_type") == "tool")) | ((F.col("kind") == "json") & F.col("output_source")))
+
+
 def effective_time(rows: DataFrame) -> Column:
     """When a block took effect: completions at the end of their span, others not before its start."""
-    done = (F.col("kind") != "tool_use") & (F.col("protected") | ((F.col("kind") == "tool_result") & (F.col("observation_type") == "tool")) | ((F.col("kind") == "json") & F.col("output_source")))
-    return F.when(done, F.greatest(F.coalesce("span_end", "time"), F.col("time"))).otherwise(F.greatest("time", "span_start"))
+    return F.when(completes(rows), F.greatest(F.coalesce("span_end", "time"), F.col("time"))).otherwise(F.greatest("time", "span_start"))
+
+
+def marked_duplicates(rows: DataFrame) -> DataFrame:
+    """Of equal content in a trace the best copy is news: output first, then completions, then the earliest.  Protected blocks and history take no part."""
+    open_ = ~F.col("protected") & ~F.col("is_history")
+    copies = Window.partitionBy("project_id", "trace_id", "content_hash", open_)
+    best = copies.orderBy(F.col("output_source").desc(), F.coalesce(completes(rows), F.lit(False)).desc(), "birth_time", "span_id", "message_index", "entry_index")
+    again = open_ & (F.row_number().over(best) > 1)
+    out = rows.withColumn("_again", again)
+    return out.withColumns({"history_rule": F.when(F.col("_again"), "duplicate").otherwise(F.col("history_rule")), "is_history": F.col("is_history") | F.col("_again")}).drop("_again")
 
 
 def feed(rows: DataFrame) -> DataFrame:
     """The conversation of each trace: history marked, one copy of each identity, in total order."""
     marked = marked_history(rows if "protected" in rows.columns else sourced(rows))
-    scored = marked.withColumns({"identity": identity(marked), "quality": quality(marked), "birth_time": effective_time(marked)})
+    marked = marked_duplicates(marked.withColumn("birth_time", effective_time(marked)))
+    scored = marked.withColumns({"identity": identity(marked), "quality": quality(marked)})
     same = Window.partitionBy("project_id", "trace_id", "identity")
     fresh = scored.filter(~F.col("is_history"))  # an identity that is only history has no row
     best = same.orderBy(F.col("quality").desc(), "birth_time", "span_id", "message_index", "entry_index")
@@ -173,11 +192,8 @@ def feed(rows: DataFrame) -> DataFrame:
 
 
 def project_feed(rows: DataFrame, limit: int) -> DataFrame:
-    """Blocks of the newest groups (session, else trace) first; inside a group in order of the conversation."""
-    group = F.coalesce("session_id", "trace_id")
-    latest = F.max("birth_time").over(Window.partitionBy("project_id", "_group"))
-    ranked = rows.withColumn("_group", group).withColumn("_latest", latest)
-    return ranked.orderBy(F.col("_latest").desc(), "_group", *ORDER).limit(limit).drop("_group", "_latest")
+    """Blocks of all conversations of a project, newest first; blocks of one span and time keep their order."""
+    return rows.orderBy(F.col("time").desc(), "span_id", "message_index", "entry_index", "trace_id").limit(limit)
 
 
 def totals(blocks_of: DataFrame, spans: DataFrame) -> DataFrame:
@@ -188,25 +204,30 @@ def totals(blocks_of: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def span_paths(spans: DataFrame) -> DataFrame:
-    """Names from the root to each span of its trace; a cycle or a missing parent ends the path.
+    """Span ids from the root to each span of its trace; a parent that is not there begins the path, a cycle ends it.
 
-    Parent links are followed inside one trace, with arrays of one trace in a row: nothing is joined repeatedly.
-    No path is longer than its trace.  Steps are nested by square roots, so a short path in a long trace ends early.
+    Parents are followed inside one trace, whose links are one row; only the paths leave it.  No path is longer than
+    its trace.  Steps are nested by square roots, so a short path in a long trace ends early.
     """
-    links = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("span_id", F.struct("parent_span_id", "span_name")))))
-    by_trace = spans.select("project_id", "trace_id", "span_id", "parent_span_id", "span_name").dropDuplicates(["project_id", "trace_id", "span_id"]).groupBy("project_id", "trace_id").agg(links.alias("links"))
-    rows = by_trace.select("project_id", "trace_id", "links", F.explode(F.map_keys("links")).alias("span_id"))
-    start = F.struct(F.array("span_id").alias("seen"), F.array(F.try_element_at("links", F.col("span_id"))["span_name"]).alias("path"), F.try_element_at("links", F.col("span_id"))["parent_span_id"].alias("up"))
+    links = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("span_id", "parent_span_id"))))
+    rows = spans.select("project_id", "trace_id", "span_id", "parent_span_id").dropDuplicates(["project_id", "trace_id", "span_id"]).groupBy("project_id", "trace_id").agg(links.alias("links"))
+    parent = lambda x: F.try_element_at(F.col("links"), x)
+    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size("links") + 1)).cast("int"))
 
     def step(state: Column, _: Column) -> Column:
-        node = F.try_element_at(F.col("links"), state["up"])
-        go = node.isNotNull() & ~F.array_contains(state["seen"], state["up"])
-        onward = F.struct(F.concat(F.array(state["up"]), state["seen"]).alias("seen"), F.concat(F.array(node["span_name"]), state["path"]).alias("path"), node["parent_span_id"].alias("up"))
-        return F.when(F.coalesce(go, F.lit(False)), onward).otherwise(F.struct(state["seen"].alias("seen"), state["path"].alias("path"), F.lit(None).cast("string").alias("up")))
+        go = state["up"].isNotNull() & ~F.array_contains(state["path"], state["up"])
+        onward = F.struct(F.concat(F.array(state["up"]), state["path"]).alias("path"), parent(state["up"]).alias("up"))
+        return F.when(go, onward).otherwise(F.struct(state["path"].alias("path"), F.lit(None).cast("string").alias("up")))
 
-    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size("links"))).cast("int"))
     many = lambda state, _: F.when(state["up"].isNull(), state).otherwise(F.aggregate(steps, state, step))
-    return rows.select("project_id", "trace_id", "span_id", F.aggregate(steps, start, many, lambda s: s["path"]).alias("path"))
+    path = lambda x: F.aggregate(steps, F.struct(F.array(x).alias("path"), parent(x).alias("up")), many, lambda s: s["path"])
+    paths = F.transform(F.map_keys("links"), lambda x: F.struct(x.alias("span_id"), path(x).alias("path")))
+    return rows.select("project_id", "trace_id", F.explode(paths).alias("p")).select("project_id", "trace_id", "p.*")
+
+
+def strippable(rows: DataFrame) -> Column:
+    """Blocks that a later call may send again: input from attributes, and bundled input events."""
+    return (F.col("input_source") & ~F.col("from_event")) | (F.col("from_event") & (F.col("source") == "gen_ai.input.messages"))
 
 
 def prefix_history(rows: DataFrame) -> DataFrame:
@@ -214,7 +235,8 @@ def prefix_history(rows: DataFrame) -> DataFrame:
 
     ``rows``: session_id, trace_id, span_id, trace_start, message_index, role, content_hash.  Sequential by
     nature: each span is matched against what the earlier traces added, so a session is the unit; only hashes
-    travel, and a block is found by bisection.  System blocks neither match nor end a match.
+    travel, and a block is found by bisection.  System blocks neither match nor end a match, nor do blocks whose
+    column ``strippable`` (if there; see ``strippable``) is false: single events keep their own times.
     """
     from bisect import bisect_left
 
@@ -227,11 +249,11 @@ def prefix_history(rows: DataFrame) -> DataFrame:
         for _, trace in session.groupby(["trace_start", "trace_id"], sort=False):
             fresh: dict[tuple[str, str], None] = {}
             at, matching, span = 0, True, None
-            for s, r, h in zip(trace["span_id"], trace["role"], trace["content_hash"], strict=True):
+            for s, r, h, may in zip(trace["span_id"], trace["role"], trace["content_hash"], trace["strippable"], strict=True):
                 if s != span:
                     at, matching, span = 0, True, s
                 hit = None
-                if matching and r != "system":
+                if matching and may and r != "system":
                     before = places.get((r, h), [])
                     k = bisect_left(before, at)
                     hit = before[k] if k < len(before) else None
@@ -244,10 +266,11 @@ def prefix_history(rows: DataFrame) -> DataFrame:
             for block in fresh:  # a trace that only replays adds nothing
                 places.setdefault(block, []).append(said)
                 said += 1
-        return session.assign(is_history=marks)
+        return session.drop(columns="strippable").assign(is_history=marks)
 
     schema = "session_id string, trace_id string, span_id string, trace_start timestamp, message_index long, role string, content_hash string, is_history boolean"
-    return rows.select("session_id", "trace_id", "span_id", F.col("trace_start").cast("timestamp"), F.col("message_index").cast("long"), "role", "content_hash").groupBy("session_id").applyInPandas(mark, schema)
+    may = F.col("strippable") if "strippable" in rows.columns else F.lit(True)
+    return rows.withColumn("strippable", may).select("strippable", "session_id", "trace_id", "span_id", F.col("trace_start").cast("timestamp"), F.col("message_index").cast("long"), "role", "content_hash").groupBy("session_id").applyInPandas(mark, schema)
 
 
 def merged_tools(tools: DataFrame) -> DataFrame:

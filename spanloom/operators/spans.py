@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import KEYS
+from ..sources.store import KEYS, conformed
 from .dedup import first_rows
 
 MAX_SPANS, MAX_OPTIONS = 10_000, 100
@@ -16,14 +16,27 @@ EVENTS = "array<struct<name: string, timestamp: string, attributes: map<string,
 LINKS = "array<struct<trace_id: string, span_id: string, attributes: map<string, string>>>"
 
 
-def list_spans(spans: DataFrame, where: Column | None = None, order: str = "timestamp_start", descending: bool = True, limit: int = 50, number: int = 1, observations_only: bool = False) -> DataFrame:
+def _listed(spans: DataFrame, where: Column | None, observations_only: bool) -> DataFrame:
     rows = first_rows(spans)
     if where is not None:
         rows = rows.filter(where)
-    if observations_only:
-        rows = rows.filter("observation_type <> 'span'")
-    by = F.col(order).desc() if descending else F.col(order)
-    return rows.orderBy(by, *KEYS).offset((max(number, 1) - 1) * limit).limit(limit)
+    return rows.filter("observation_type <> 'span'") if observations_only else rows
+
+
+def list_spans(
+    spans: DataFrame, where: Column | None = None, order: str = "timestamp_start", descending: bool = True, limit: int = 50, number: int = 1, observations_only: bool = False, project: str | None = None
+) -> DataFrame:
+    """A page of spans: first its keys from the columns that order and filter need, then the whole rows of these keys."""
+    spans = conformed(spans)
+    spans = spans if project is None else spans.filter(F.col("project_id") == project)
+    by = [F.col(order).desc() if descending else F.col(order), *KEYS]
+    keys = _listed(spans, where, observations_only).select(*KEYS, order).orderBy(*by).offset((max(number, 1) - 1) * limit).limit(limit)
+    return first_rows(spans.join(F.broadcast(keys.select(*KEYS)), KEYS, "left_semi")).orderBy(*by)
+
+
+def count_spans(spans: DataFrame, where: Column | None = None, observations_only: bool = False) -> DataFrame:
+    """Number of spans of all pages."""
+    return _listed(conformed(spans), where, observations_only).agg(F.count("*").alias("total"))
 
 
 def feed(rows: DataFrame, limit: int, before: tuple[datetime, str] | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -58,14 +71,17 @@ def get_span(spans: DataFrame, project: str, trace: str, span: str) -> DataFrame
 
 
 def unnested(rows: DataFrame, column: str, kind: str) -> DataFrame:
-    """A row for each element of a JSON array of events or links, with its place."""
-    return rows.select(*KEYS, F.posexplode(F.from_json(column, kind)).alias("position", "item")).select(*KEYS, "position", "item.*")
+    """A row for each element of a JSON array of events or links, with its place; ids of a link are linked_trace_id and linked_span_id."""
+    out = rows.select(*KEYS, F.posexplode(F.from_json(column, kind)).alias("position", "item"))
+    fields = out.schema["item"].dataType.names
+    return out.select(*KEYS, "position", *[F.col(f"item.{x}").alias(f"linked_{x}" if x in KEYS else x) for x in fields])
 
 
 def counts(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """Event and link counts for each asked key, 0 for spans that are not there."""
     size = lambda c: F.coalesce(F.json_array_length(c), F.lit(0)).cast("long")
-    return keys.join(rows.select(*KEYS, "events", "links"), KEYS, "left").select(*KEYS, size("events").alias("event_count"), size("links").alias("link_count"))
+    own = first_rows(rows).select(*KEYS, "events", "links")
+    return keys.distinct().join(own, KEYS, "left").select(*KEYS, size("events").alias("event_count"), size("links").alias("link_count"))
 
 
 def options(rows: DataFrame, column: str, counted: list[str], exact: bool = True, limit: int = MAX_OPTIONS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import TOKENS
+from ..sources.store import TOKENS, conformed
 from .dedup import first_rows
 from .tokens import token_roots
 
@@ -68,6 +68,7 @@ def page(rows: DataFrame, order: str, descending: bool, limit: int, number: int,
 
 def _scoped(spans: DataFrame, project: str | None) -> DataFrame:
     """Below the window that removes duplicates only the project may be tested: it is part of their key."""
+    spans = conformed(spans)
     return spans if project is None else spans.filter(F.col("project_id") == project)
 
 
@@ -113,7 +114,7 @@ def count_traces(spans: DataFrame, where: Column | None = None, genai_only: bool
 
 
 def get_trace(spans: DataFrame, project: str, trace: str) -> DataFrame:
-    own = spans.filter((F.col("project_id") == project) & (F.col("trace_id") == trace))
+    own = conformed(spans).filter((F.col("project_id") == project) & (F.col("trace_id") == trace))
     rows = first_rows(own)
     return with_totals(summaries(rows), totals(token_roots(rows, own), TRACE), TRACE)
 
@@ -124,7 +125,7 @@ def traces_of_sessions(spans: DataFrame, project: str, sessions: list[str]) -> D
 
 
 def traces_for_session(spans: DataFrame, project: str, session: str) -> DataFrame:
-    own = spans.join(traces_of_sessions(spans, project, [session]), TRACE, "left_semi")
+    own = conformed(spans).join(traces_of_sessions(spans, project, [session]), TRACE, "left_semi")
     rows = first_rows(own)
     return with_totals(summaries(rows), totals(token_roots(rows, own), TRACE), TRACE).orderBy(F.col("start_time").desc(), "trace_id")
 
@@ -164,6 +165,6 @@ def count_sessions(spans: DataFrame, where: Column | None = None, project: str |
 
 
 def get_session(spans: DataFrame, project: str, session: str) -> DataFrame:
-    own = spans.join(traces_of_sessions(spans, project, [session]), TRACE, "left_semi")
+    own = conformed(spans).join(traces_of_sessions(spans, project, [session]), TRACE, "left_semi")
     rows = first_rows(own).withColumn("session_id", F.lit(session))
     return with_totals(_session_rows(rows), totals(token_roots(rows, own), SESSION), SESSION)

@@ -6,20 +6,21 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import blobs, classify, otlp, pricing
 from ..functions import messages as ms
 from ..operators import feed as fd
 from ..operators import filters as fl
+from ..operators import messages as mg
 from ..operators import spans as sp
 from ..operators import stats as st
 from ..operators import traces as tr
 from ..operators.dedup import first_rows, unique_spans
 from ..operators.tokens import token_roots
 from ..sources.store import SPANS_SQL, spans, table
-from ..streaming.ingest import rate_counts
+from ..streaming.ingest import rate_counts, span_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,8 +241,8 @@ def span_events(spark, sf):
 
 @query(f"with e as ({_EVENTS}) select project_id, trace_id, span_id, 0 as position, trace_id as linked_trace, 's' || {_K} as linked_span from e where cast({_K} as int) % 2 = 0")
 def span_links(spark, sf):
-    rows = _with_json(spark, sf).select("project_id", "trace_id", "span_id", F.posexplode(F.from_json("links", sp.LINKS)).alias("position", "l"))
-    return rows.select("project_id", "trace_id", "span_id", "position", F.col("l.trace_id").alias("linked_trace"), F.col("l.span_id").alias("linked_span"))
+    rows = sp.unnested(_with_json(spark, sf), "links", sp.LINKS)
+    return rows.select("project_id", "trace_id", "span_id", "position", F.col("linked_trace_id").alias("linked_trace"), F.col("linked_span_id").alias("linked_span"))
 
 
 @query(f"with e as ({_EVENTS}) select project_id, trace_id, span_id, case when cast({_K} as int) % 2 = 0 then 2 else 1 end event_count, case when cast({_K} as int) % 2 = 0 then 1 else 0 end link_count from e union all select 'p9', 'none', 'none', 0, 0")
@@ -279,22 +280,35 @@ def trace_ids_for_sessions(spark, sf):
     return tr.traces_of_sessions(spans(spark, sf), "p1", ["c1", "c4", "c7", "c10"])
 
 
-_MESSAGES = "conv_id, turn, role, text"
+_SAID = f"{D}, w as (select *, case when tb1 % 3 = 0 then '[1]' else '[]' end messages_json from d)"
+_MESSAGES = "project_id, trace_id, span_id, timestamp_start, messages_json, status_code, input_tokens"
 
 
-@query(f"select {_MESSAGES} from conversations where conv_id = 7 and turn <= 3 order by turn")
+def _with_messages(spark, sf) -> DataFrame:
+    return spans(spark, sf).withColumn("messages_json", F.when(F.col("tb1") % 3 == 0, "[1]").otherwise("[]"))
+
+
+@query(f"{_SAID} select {_MESSAGES} from w where (messages_json <> '[]' or status_code = 'ERROR') and project_id = (select o.project_id from {_ONE} o) and trace_id = (select o.trace_id from {_ONE} o) order by timestamp_start, trace_id, span_id")
 def messages_for_trace(spark, sf):
-    return table(spark, sf, "conversations").filter("conv_id = 7 and turn <= 3").select(*_MESSAGES.split(", ")).orderBy("turn")
+    p, t, _ = _some(spark, sf)
+    return mg.get_messages(_with_messages(spark, sf), p, trace_id=t).select(*_MESSAGES.split(", "))
 
 
-@query(f"select {_MESSAGES} from conversations where conv_id = 7 order by turn")
+@query(f"{_SAID} select {_MESSAGES} from w where (messages_json <> '[]' or status_code = 'ERROR') and {_IN} order by timestamp_start, trace_id, span_id")
 def messages_for_session(spark, sf):
-    return table(spark, sf, "conversations").filter("conv_id = 7").select(*_MESSAGES.split(", ")).orderBy("turn")
+    p, _, s = _some(spark, sf)
+    return mg.get_messages(_with_messages(spark, sf), p, session_id=s).select(*_MESSAGES.split(", "))
 
 
-@query(f"select {_MESSAGES} from conversations where text <> '' order by conv_id desc, turn desc limit 200")
+@query(f"{_SAID} select {_MESSAGES} from w where project_id = (select o.project_id from {_ONE} o) and span_id = (select o.trace_id || '-s1' from {_ONE} o)")
+def messages_for_span(spark, sf):
+    p, t, s = _some(spark, sf)
+    return mg.get_messages(_with_messages(spark, sf), p, trace_id=t, session_id=s, span_id=f"{t}-s1").select(*_MESSAGES.split(", "))
+
+
+@query(f"{_SAID} select {_MESSAGES} from w where (messages_json <> '[]' or status_code = 'ERROR') and project_id = 'p1' and timestamp_start >= timestamp '1995-01-01' and (ingested_at, span_id) < (timestamp '1996-06-01', 't5') order by ingested_at desc, span_id desc limit 200")
 def project_messages(spark, sf):
-    return table(spark, sf, "conversations").filter("text <> ''").select(*_MESSAGES.split(", ")).orderBy(F.col("conv_id").desc(), F.col("turn").desc()).limit(200)
+    return mg.project_messages(_with_messages(spark, sf), "p1", 200, (datetime(1996, 6, 1), "t5"), since=datetime(1995, 1, 1)).select(*_MESSAGES.split(", "))
 
 
 @query(f"""{D}, m as (select * from d where {_RANGE}), k as ({roots('m')}), u as (select project_id, cast(sum(input_tokens) as bigint) i, cast(sum(output_tokens) as bigint) o, round(cast(sum(cost_total) as double), 4) c from k group by 1)
@@ -534,15 +548,19 @@ def feed_order(spark, sf):
     return fd.deduplicated(fd.duplicate_history(_replayed(spark, sf))).orderBy(*fd.ORDER, "trace_id").select(*_BLOCK.split(", "))
 
 
-@query(f"{D}, e as (select * from d where status_code = 'ERROR') select trace_id, span_id, 'Error: ' || span_name as text from e where not exists (select 1 from e c where c.trace_id = e.trace_id and c.parent_span_id = e.span_id)")
+@query(f"""{D}, e as (select *, case when tb1 % 2 = 0 then 'Kind' end kind, case when tb1 % 3 = 0 then 'said' end said, case when tb1 % 5 = 0 then 'at x' end trace from d where status_code = 'ERROR'),
+ t as (select *, concat_ws(': ', kind, said) head, '```' || chr(10) || trace || chr(10) || '```' tail from e)
+ select project_id, trace_id, span_id, coalesce(timestamp_end, timestamp_start) as time, concat_ws(chr(10) || chr(10), nullif(head, ''), tail) as text from t
+ where (head <> '' or tail is not null) and not exists (select 1 from e c where c.project_id = t.project_id and c.trace_id = t.trace_id and c.parent_span_id = t.span_id)""")
 def feed_leaf_errors(spark, sf):
-    return fd.leaf_errors(first_rows(spans(spark, sf)))
+    said = {"exception_type": F.when(F.col("tb1") % 2 == 0, "Kind"), "exception_message": F.when(F.col("tb1") % 3 == 0, "said"), "exception_stacktrace": F.when(F.col("tb1") % 5 == 0, "at x")}
+    return fd.leaf_errors(first_rows(spans(spark, sf).withColumns(said)))
 
 
-@query()
+@query(f"{_REPLAY} select trace_id session_id, span_id trace_id, span_id, message_index, role, message_index < time and role <> 'system' is_history from l")
 def feed_prefix(spark, sf):
     rows = _replayed(spark, sf).select(F.col("trace_id").alias("session_id"), F.col("span_id").alias("trace_id"), "span_id", F.timestamp_seconds("time").alias("trace_start"), "message_index", "role", "content_hash")
-    return fd.prefix_history(rows)
+    return fd.prefix_history(rows).select("session_id", "trace_id", "span_id", "message_index", "role", "is_history")
 
 
 @query("with t as (select 'tool-' || (event_id % 7) as name, event_type as description, case when event_id % 3 = 0 then props end as parameters, case when length(event_type) > 0 then 2 else 0 end + case when event_id % 3 = 0 then 2 else 0 end q from events) select name, first(parameters order by q desc, coalesce(parameters, '') desc, description desc) parameters, first(description order by q desc, coalesce(parameters, '') desc, description desc) description from t group by 1 order by 1")
@@ -587,7 +605,8 @@ def feed_history_rules(spark, sf):
 _CONVERSATION = f"""{_RULES}, q as (select *, case kind when 'tool_use' then 'call' || content when 'tool_result' then 'result' || tool_id else role || content end ident,
   100 + case when tb1 % 11 = 0 then 10 else 0 end + case when kind = 'thinking' then 5 else 0 end + case when n in (0, 4) then 4 else 0 end + case when n < 3 then 2 else 0 end + 1 quality,
   case when kind <> 'tool_use' and (protected or (kind = 'json' and n in (0, 4))) then greatest(coalesce(timestamp_end, seen_at), seen_at) else greatest(seen_at, timestamp_start) end birth_time from r where history_rule is null),
- k as (select * from (select *, row_number() over (partition by project_id, trace_id, kind in ('tool_use', 'tool_result'), ident order by quality desc, birth_time, span_id) nth from q) where nth = 1)"""
+ h as (select *, row_number() over (partition by project_id, trace_id, content, protected order by n in (0, 4) desc, kind <> 'tool_use' and (protected or (kind = 'json' and n in (0, 4))) desc, birth_time, span_id) copy from q),
+ k as (select * from (select *, row_number() over (partition by project_id, trace_id, kind in ('tool_use', 'tool_result'), ident order by quality desc, birth_time, span_id) nth from h where protected or copy = 1) where nth = 1)"""
 
 
 @query(f"{_CONVERSATION} select project_id, trace_id, span_id, kind, quality, birth_time from k")
@@ -595,7 +614,7 @@ def feed_conversation(spark, sf):
     return fd.feed(_history_blocks(spark, sf)).select("project_id", "trace_id", "span_id", "kind", "quality", "birth_time")
 
 
-@query(f"{_CONVERSATION}, g as (select *, coalesce(session_id, trace_id) grp, max(birth_time) over (partition by project_id, coalesce(session_id, trace_id)) latest from k where project_id = 'p1' order by latest desc, grp, birth_time, span_id limit 200) select trace_id, span_id, kind, birth_time from g")
+@query(f"{_CONVERSATION}, g as (select * from k where project_id = 'p1' order by seen_at desc, span_id limit 200) select trace_id, span_id, kind, birth_time from g")
 def feed_project(spark, sf):
     return fd.project_feed(fd.feed(_history_blocks(spark, sf)).filter("project_id = 'p1'"), 200).select("trace_id", "span_id", "kind", "birth_time")
 
@@ -606,8 +625,9 @@ def feed_totals(spark, sf):
     return fd.totals(fd.feed(rows), rows)
 
 
-@query(f"""{D.replace('with ', 'with recursive ', 1)}, p as (select project_id, trace_id, span_id, span_name as path, 1 as depth from d where parent_span_id is null or not exists (select 1 from d u where u.project_id = d.project_id and u.trace_id = d.trace_id and u.span_id = d.parent_span_id)
- union all select d.project_id, d.trace_id, d.span_id, p.path || '/' || d.span_name, p.depth + 1 from d join p on d.project_id = p.project_id and d.trace_id = p.trace_id and d.parent_span_id = p.span_id) select project_id, trace_id, span_id, path from p""")
+@query(f"""{D.replace('with ', 'with recursive ', 1)}, p as (select project_id, trace_id, span_id, case when parent_span_id is null then span_id else parent_span_id || '/' || span_id end as path, 1 as depth from d
+  where parent_span_id is null or not exists (select 1 from d u where u.project_id = d.project_id and u.trace_id = d.trace_id and u.span_id = d.parent_span_id)
+ union all select d.project_id, d.trace_id, d.span_id, p.path || '/' || d.span_id, p.depth + 1 from d join p on d.project_id = p.project_id and d.trace_id = p.trace_id and d.parent_span_id = p.span_id) select project_id, trace_id, span_id, path from p""")
 def span_paths(spark, sf):
     return fd.span_paths(first_rows(spans(spark, sf))).withColumn("path", F.array_join("path", "/"))
 
@@ -652,6 +672,40 @@ def message_category(spark, sf):
     return rows.select("event_id", ms.category(F.col("source"), F.col("event"), said, F.col("content")).alias("category"), said.alias("role"))
 
 
+_WIRE = (
+    '{"resourceSpans":[{"resource":{"attributes":[{"key":"deployment.environment","value":{"stringValue":"%s"}}]},"scopeSpans":[{"spans":['
+    '{"traceId":"%s","spanId":"r%s","name":"root","startTimeUnixNano":"%s","attributes":[{"key":"session.id","value":{"stringValue":"s%s"}},{"key":"tags","value":{"stringValue":"a,%s"}}]},'
+    '{"traceId":"%s","spanId":"c%s","parentSpanId":"r%s","name":"call","startTimeUnixNano":"%s","endTimeUnixNano":"%s","status":{"code":%s},"attributes":[{"key":"gen_ai.operation.name","value":{"stringValue":"embeddings"}},'
+    '{"key":"gen_ai.operation.name","value":{"stringValue":"chat"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"%s"}},{"key":"gen_ai.usage.output_tokens","value":{"intValue":"2"}},{"key":"llm.cost.total","value":{"doubleValue":0.5}}]}]}]}]}'
+)
+
+
+def _ingested(spark, sf) -> DataFrame:
+    """Events as OTLP requests of two spans, read by the ingest's own extraction."""
+    e, start = table(spark, sf, "events"), F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit("000"))
+    n, one = F.col("event_id").cast("string"), lambda c: F.col(c).cast("string")
+    code = F.when(F.col("event_type") == "error", "2").otherwise("1")
+    end = F.concat((F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(1500)).cast("string"), F.lit("000"))
+    line = F.format_string(_WIRE, one("event_type"), n, n, start, one("user_id"), one("event_type"), n, n, n, start, end, code, one("user_id"))
+    requests = e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"), F.from_json(line, otlp.REQUEST)["resourceSpans"].alias("resourceSpans"))
+    return span_rows(requests).withColumn("ingested_at", F.col("timestamp_start"))
+
+
+@query("""select 'p' || (user_id % 3) project_id, cast(event_id as varchar) trace_id, 'root' trace_name, 's' || user_id session_id, event_type environment, 2::bigint span_count, 1::bigint observation_count, event_type = 'error' has_error,
+ list_sort(['a', event_type]) tags, cast(user_id as bigint) input_tokens, 2::bigint output_tokens, cast(user_id + 2 as bigint) total_tokens, 0.5::double total_cost, (epoch_ms(ts + interval 1500 microseconds) - epoch_ms(ts)) duration_ms
+ from events where event_type in ('error', 'view') order by user_id desc, project_id, trace_id limit 300""")
+def ingest_list_traces(spark, sf):
+    page = tr.list_traces(_ingested(spark, sf), F.col("environment").isin("error", "view"), order="total_tokens", limit=300)
+    return page.select("project_id", "trace_id", "trace_name", "session_id", "environment", "span_count", "observation_count", "has_error", "tags", "input_tokens", "output_tokens", "total_tokens", "total_cost", "duration_ms")
+
+
+@query("select 'p' || (user_id % 3) project_id, 's' || user_id session_id, count(*) trace_count, 2 * count(*) span_count, cast(sum(user_id) as bigint) input_tokens, cast(2 * count(*) as bigint) output_tokens, 0.5 * count(*)::double total_cost from events group by 1, 2 order by 3 desc, 1, 2 limit 50")
+def ingest_list_sessions(spark, sf):
+    rows = _ingested(spark, sf)
+    whole = rows.withColumn("session_id", F.coalesce("session_id", F.max("session_id").over(Window.partitionBy("project_id", "trace_id"))))
+    return tr.list_sessions(whole, order="trace_count", limit=50).select("project_id", "session_id", "trace_count", "span_count", "input_tokens", "output_tokens", "total_cost")
+
+
 _POINT = """'{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"m","KIND":{"dataPoints":[{"timeUnixNano":"1700000000000000000",BODY}]}}]}]}]}'"""
 
 

@@ -54,6 +54,8 @@ def conformed(rows: DataFrame) -> DataFrame:
         return F.lit(0).cast(kind) if name in TOKENS + COSTS else F.array().cast(kind) if name in _LISTS else F.lit(None).cast(kind)
 
     added = {c: default(c, kind) for c, kind in SCHEMA.items() if c not in rows.columns}
+    if "total_tokens" in added and {"input_tokens", "output_tokens"} <= set(rows.columns):
+        added["total_tokens"] = F.coalesce(F.col("input_tokens") + F.col("output_tokens"), F.lit(0)).cast("long")
     filled = {c: F.coalesce(F.col(c), default(c, SCHEMA[c])) for c in TOKENS + COSTS + _LISTS if c in rows.columns and rows.schema[c].nullable}
     return rows.withColumns(added | filled)
 

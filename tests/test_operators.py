@@ -109,10 +109,66 @@ def test_otlp_spans(spark, tmp_path):
     query.awaitTermination(60)
     row = spark.read.parquet(str(tmp_path / "store" / "spans")).first()
     assert (row.trace_id, row.span_id, row.duration_ms, row.status_code, row.observation_type, row.input_tokens, row.total_tokens, row.exception_type) == ("ab", "cd", 1500, "ERROR", "generation", 12, 12, "E")
-    assert (row.dialect, row.messages, row.output_preview) == (None, [], None)
+    assert (row.messages_json, row.output_preview) == ("[]", None)
     assert spark.read.parquet(str(tmp_path / "store" / "dead_letter")).count() == 1
 
 
+def _attribute(key, value):
+    return {"key": key, "value": {"intValue": str(value)} if isinstance(value, int) else {"stringValue": value}}
+
+
+def _span(trace, span, parent, start, **attributes):
+    return {"traceId": trace, "spanId": span, "parentSpanId": parent, "name": f"op {span}", "kind": 3, "startTimeUnixNano": start, "endTimeUnixNano": start, "attributes": [_attribute(k.replace("__", "."), v) for k, v in attributes.items()]}
+
+
+def test_ingest_feeds_every_listing(spark, tmp_path):
+    """Spans written by the ingest are read by all listings; repeated keys, bad numbers and missing ids stop nothing."""
+    from spanloom.operators import feed, messages, spans as sp, stats, traces as tr
+    from spanloom.sources import store
+
+    at = "1700000000000000000"
+    root = _span("aa", "01", "", at, session__id="s1", metadata='{"k": 1}', tags="x,y", gen_ai__agent__name="planner")
+    call = _span("aa", "02", "01", at, gen_ai__operation__name="chat", gen_ai__request__model="model-0", gen_ai__usage__input_tokens=10, gen_ai__usage__output_tokens=5, gen_ai__request__temperature="0.5", gen_ai__response__finish_reasons='["stop"]')
+    call["attributes"] += [_attribute("gen_ai.request.model", "model-1"), _attribute("gen_ai.prompt.0.role", "user"), _attribute("gen_ai.prompt.0.content", "hello there")]
+    call["events"] = [{"name": "exception", "timeUnixNano": at, "attributes": [_attribute("exception.type", "E"), _attribute("exception.message", "é" * 3000), _attribute("exception.stacktrace", "at x")]}]
+    call["links"] = [{"traceId": "BB", "spanId": "09", "attributes": [_attribute("why", "retry")]}]
+    call["status"] = {"code": 2}
+    bad = [_span("aa", "03", "01", "abc"), _span("", "04", "", at)]
+    resource = {"attributes": [_attribute("deployment.environment", "prod")]}
+    lines = [{"resourceSpans": [{"resource": resource, "scopeSpans": [{"spans": [root, call, *bad, call]}]}]}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
+    prices = spark.sql("select 'model-1' price_model, 1e-3D input_cost, 2e-3D output_cost, 'chat' mode")
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "state"), prices=prices).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "store" / "dead_letter")).count() == 3
+    rows = store.read(spark, str(tmp_path / "store" / "spans"))
+    assert set(store.SCHEMA) <= set(rows.columns) and rows.count() == 3
+
+    trace = tr.list_traces(rows, project="default").collect()
+    assert len(trace) == 1 and (trace[0].trace_id, trace[0].span_count, trace[0].session_id, trace[0].environment, trace[0].tags, trace[0].metadata) == ("aa", 2, "s1", "prod", ["x", "y"], '{"k": 1}')
+    assert (trace[0].input_tokens, trace[0].output_tokens, trace[0].total_cost, trace[0].input_cost, trace[0].has_error, trace[0].input_preview) == (10, 5, pytest.approx(0.02), pytest.approx(0.01), True, "hello there")
+    assert tr.get_trace(rows, "default", "aa").collect() == trace and tr.count_traces(rows).first().total == 1
+    assert tr.list_sessions(rows).first().session_id == "s1" and tr.get_session(rows, "default", "s1").first().input_tokens == 10 and tr.count_sessions(rows).first().total == 1
+    assert tr.traces_for_session(rows, "default", "s1").count() == 1
+    listed = {r.span_id: r for r in sp.list_spans(rows).collect()}
+    assert set(listed) == {"01", "02"} and listed["02"].gen_ai_request_model == "model-1" and listed["02"].gen_ai_finish_reasons == ["stop"] and listed["02"].gen_ai_temperature == 0.5 and listed["02"].span_kind == "CLIENT"
+    assert len(listed["02"].exception_message.encode()) == 2048 and listed["02"].status_message.startswith("E: ")
+    assert sp.count_spans(rows).first().total == 2 and sp.get_span(rows, "default", "aa", "02").count() == 1 and sp.spans_for_trace(rows, "default", "aa").count() == 2
+    event = sp.unnested(rows.filter("span_id = '02'").limit(1), "events", sp.EVENTS).first()
+    assert event.name == "exception" and event.timestamp.startswith("2023-11-14T22:13:20") and event.attributes["exception.type"] == "E"
+    link = sp.unnested(rows.filter("span_id = '02'").limit(1), "links", sp.LINKS).first()
+    assert (link.linked_trace_id, link.linked_span_id, link.attributes["why"]) == ("bb", "09", "retry")
+    assert sorted((r.event_count, r.link_count) for r in sp.counts(rows.select(*store.KEYS).distinct(), rows).collect()) == [(0, 0), (1, 1)]
+    assert sp.feed(rows, 10).count() == 2
+    said = messages.get_messages(rows, "default", trace_id="aa").collect()
+    assert [r.span_id for r in said] == ["02"] and json.loads(said[0].messages_json)[0]["source"] == "gen_ai.prompt.0"
+    assert messages.project_messages(rows, "default", 10).count() == 1
+    assert feed.leaf_errors(messages.get_messages(rows, "default", span_id="02")).first().text.endswith("\n\n```\nat x\n```")
+    end = datetime(2023, 12, 1)
+    assert stats.main(rows, datetime(2023, 11, 1), end).first().total_cost == pytest.approx(0.02)
+    assert {r.value for r in sp.options(rows, "environment", ["trace_id"]).collect()} == {"prod"}
+
+
 def test_metric_stream(spark, tmp_path):
     from spanloom.streaming.ingest import ingest_metrics
 
