@@ -40,15 +40,28 @@ def count_spans(spans: DataFrame, where: Column | None = None, observations_only
 
 
 def feed(rows: DataFrame, limit: int, before: tuple[datetime, str] | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-    """Newest first by (ingested_at, span_id), strictly before the cursor; times are half-open."""
-    if since is not None:
-        rows = rows.filter(F.col("timestamp_start") >= F.lit(since))
-    if until is not None:
-        rows = rows.filter(F.col("timestamp_start") < F.lit(until))
-    if before is not None:
-        at = F.lit(before[0]).cast(rows.schema["ingested_at"].dataType)
-        rows = rows.filter(F.struct("ingested_at", "span_id") < F.struct(at.alias("ingested_at"), F.lit(before[1]).alias("span_id")))
-    return rows.orderBy(F.col("ingested_at").desc(), F.col("span_id").desc()).limit(limit)
+    """Newest first by (ingested_at, span_id), strictly before the cursor; times are half-open.  Keys first, as for lists."""
+
+    def found(of: DataFrame) -> DataFrame:
+        out = first_rows(of)
+        if since is not None:
+            out = out.filter(F.col("timestamp_start") >= F.lit(since))
+        if until is not None:
+            out = out.filter(F.col("timestamp_start") < F.lit(until))
+        if before is not None:
+            at = F.lit(before[0]).cast(of.schema["ingested_at"].dataType)
+            out = out.filter(F.struct("ingested_at", "span_id") < F.struct(at.alias("ingested_at"), F.lit(before[1]).alias("span_id")))
+        return out
+
+    by = [F.col("ingested_at").desc(), F.col("span_id").desc(), F.col("trace_id").desc()]
+    keys = found(rows).select(*KEYS, "ingested_at").orderBy(*by).limit(limit).select(*KEYS)
+    return first_rows(rows.join(F.broadcast(keys), KEYS, "left_semi")).orderBy(*by)
+
+
+def next_cursor(page: DataFrame, limit: int) -> str | None:
+    """The cursor behind a page that was asked for with ``limit + 1`` rows; None if nothing follows."""
+    rows = page.select("ingested_at", "span_id").limit(limit + 1).collect()
+    return cursor(rows[limit - 1][0], rows[limit - 1][1]) if len(rows) > limit else None
 
 
 def cursor(ingested_at: datetime, span_id: str) -> str:

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -688,11 +689,11 @@ def _ingested(spark, sf) -> DataFrame:
     end = F.concat((F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(1500)).cast("string"), F.lit("000"))
     line = F.format_string(_WIRE, one("event_type"), n, n, start, one("user_id"), one("event_type"), n, n, n, start, end, code, one("user_id"))
     requests = e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"), F.from_json(line, otlp.REQUEST)["resourceSpans"].alias("resourceSpans"))
-    return span_rows(requests).withColumn("ingested_at", F.col("timestamp_start"))
+    return span_rows(requests).withColumn("ingested_at", F.col("timestamp_start")).persist(StorageLevel.DISK_ONLY)  # extracted once, as the ingest does
 
 
 @query("""select 'p' || (user_id % 3) project_id, cast(event_id as varchar) trace_id, 'root' trace_name, 's' || user_id session_id, event_type environment, 2::bigint span_count, 1::bigint observation_count, event_type = 'error' has_error,
- list_sort(['a', event_type]) tags, cast(user_id as bigint) input_tokens, 2::bigint output_tokens, cast(user_id + 2 as bigint) total_tokens, 0.5::double total_cost, (epoch_ms(ts + interval 1500 microseconds) - epoch_ms(ts)) duration_ms
+ list_sort(['a', event_type]) tags, cast(user_id as bigint) input_tokens, 2::bigint output_tokens, cast(user_id + 2 as bigint) total_tokens, 0.5::double total_cost, date_diff('millisecond', ts, ts + interval 1500 microseconds) duration_ms
  from events where event_type in ('error', 'view') order by user_id desc, project_id, trace_id limit 300""")
 def ingest_list_traces(spark, sf):
     page = tr.list_traces(_ingested(spark, sf), F.col("environment").isin("error", "view"), order="total_tokens", limit=300)
