@@ -49,10 +49,11 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = 0) -> tuple[np.nda
     An n-gram is a number whose highest byte is the newest.
     """
     order = order or ORDER
-    here = np.append(_LOWER[data[offsets[0] : offsets[-1]]], np.uint8(32))
-    cuts = offsets - offsets[0]
-    doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    doc = np.append(doc, doc[-1] if len(doc) else 0)
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    here = np.full(len(text) + len(sizes), 32, np.uint8)  # a space ends every text
+    here[np.arange(len(text)) + text] = _LOWER[data[offsets[0] : offsets[-1]]]
+    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
     inside = here != 32
     fresh = np.ones(len(here), bool)  # no byte of the word stands before
     fresh[1:] = ~inside[:-1] | (doc[1:] != doc[:-1])
