@@ -1,8 +1,9 @@
-"""Connected components of links between long ids, by least labels and pointer jumping.
+"""Connected components of links between ids, by least labels and pointer jumping.
 
 Every round is joins and grouped minima over written tables, so a hub is a key of a join that Spark
 can split or of a sum that is combined before it is shuffled; nothing comes to the driver but the
-number of labels that changed.
+number of labels that changed.  Ids may be of any ordered type; repeated links and links of an id to itself change
+nothing; no links give an empty table.
 """
 
 from __future__ import annotations

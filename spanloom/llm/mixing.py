@@ -12,7 +12,8 @@ so no task orders a source.
 
 Null texts have no words; null sources are a source of their own; rows with equal id and text are
 taken or left together; an empty table gives an empty result.  Every table here but the documents'
-has at most 4096 rows for each source.
+has at most 4096 rows for each source; the table of targets has a row for each source and is ordered in one task, so
+sources are meant to be thousands (crawls, collections), not each host of the web.
 """
 
 from __future__ import annotations
@@ -86,7 +87,10 @@ def mix(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
-    """The documents as often as the mix takes them, with their columns; no text is shuffled."""
+    """The documents as often as the mix takes them, with their columns; no text is shuffled.
+
+    Documents without words are taken as their source is; an empty table gives an empty result.
+    """
     rows = written(docs.select(n_words(F.col("text")).alias("size"), _source().alias("skey"), _digest(seed).alias("digest")), "mix-rows")
     names = [F.col(f"`{c}`") for c in docs.columns]
     dealt = docs.select(*[F.col(f"`{c}`").alias(f"_in_{k}") for k, c in enumerate(docs.columns)], _source().alias("skey"), _digest(seed).alias("digest")).join(plan(rows), "skey")
