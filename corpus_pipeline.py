@@ -1,4 +1,8 @@
-"""The training-data pipeline: quality rules, near-dedup, substring dedup, mixing, packing."""
+"""The training-data pipeline: quality rules, near-dedup, substring dedup, mixing, packing.
+
+Every stage takes an empty table to an empty one and carries further columns through, whatever their names, but packing,
+which returns rows of its own.  Null and empty texts count as empty.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,27 @@ from spanloom.llm import mixing, near_dedup, packing, quality_rules, storage, su
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep; null and empty texts fail, repeated rows are judged alike."""
     return quality_rules.kept_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of least id (null ids last); of equal rows one stays."""
     return near_dedup.deduplicated(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier text has; texts that lose all words go, equal rows keep one copy."""
     return substring_dedup.cleaned_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; null sources are one source, equal rows go together, texts without words may stay or go."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece with its bin; texts without words keep a row without a bin, repeated rows are packed apart."""
     return packing.pack_documents(docs)
 
 
