@@ -237,21 +237,36 @@ def prefix_history(rows: DataFrame) -> DataFrame:
     nature: each span is matched against what the earlier traces added, so a session is the unit; only hashes
     travel, and a block is found by bisection.  System blocks neither match nor end a match, nor do blocks whose
     column ``strippable`` (if there; see ``strippable``) is false: single events keep their own times.
+
+    A block that other spans of its trace repeat is added once, but as often as one message says it: a replay has all of
+    these.  With a column ``entry_index`` blocks of a message are matched in its order, and a block delivered twice is one.
     """
     from bisect import bisect_left
+    from collections import Counter
 
     import pandas as pd
 
+    placed = "entry_index" in rows.columns
+
     def mark(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["trace_start", "trace_id", "span_id", "message_index"], kind="stable")
+        order = ["trace_start", "trace_id", "span_id", "message_index"]
+        session = session.sort_values([*order, "entry_index", "role", "content_hash"] if placed else order, kind="stable")
         places: dict[tuple[str, str], list[int]] = {}  # where a block was said before, ascending
         said, marks = 0, []
         for _, trace in session.groupby(["trace_start", "trace_id"], sort=False):
-            fresh: dict[tuple[str, str], None] = {}
-            at, matching, span = 0, True, None
-            for s, r, h, may in zip(trace["span_id"], trace["role"], trace["content_hash"], trace["strippable"], strict=True):
+            fresh: dict[tuple[str, str, int], None] = {}  # role, hash and how often its message said it before
+            at, matching, span, message, last = 0, True, None, None, None
+            again: Counter[tuple[str, str]] = Counter()
+            for s, r, h, may, m, e in zip(*[trace[c] for c in ("span_id", "role", "content_hash", "strippable", "message_index", "entry_index")], strict=True):
+                if placed and (s, m, e, r, h) == last:
+                    marks.append(marks[-1])
+                    continue
+                last = (s, m, e, r, h)
                 if s != span:
-                    at, matching, span = 0, True, s
+                    at, matching, span, message = 0, True, s, None
+                if m != message:
+                    message = m
+                    again.clear()
                 hit = None
                 if matching and may and r != "system":
                     before = places.get((r, h), [])
@@ -262,15 +277,17 @@ def prefix_history(rows: DataFrame) -> DataFrame:
                 if hit is not None:
                     at = hit + 1
                 elif r != "system":
-                    fresh[(r, h)] = None
-            for block in fresh:  # a trace that only replays adds nothing
-                places.setdefault(block, []).append(said)
+                    fresh[(r, h, again[r, h])] = None
+                    again[r, h] += 1
+            for r, h, _ in fresh:  # a trace that only replays adds nothing
+                places.setdefault((r, h), []).append(said)
                 said += 1
-        return session.drop(columns="strippable").assign(is_history=marks)
+        return session.drop(columns=["strippable", "entry_index"]).assign(is_history=marks)
 
     schema = "session_id string, trace_id string, span_id string, trace_start timestamp, message_index long, role string, content_hash string, is_history boolean"
     may = F.col("strippable") if "strippable" in rows.columns else F.lit(True)
-    return rows.withColumn("strippable", may).select("strippable", "session_id", "trace_id", "span_id", F.col("trace_start").cast("timestamp"), F.col("message_index").cast("long"), "role", "content_hash").groupBy("session_id").applyInPandas(mark, schema)
+    entry = F.col("entry_index").cast("long") if placed else F.lit(0).cast("long")
+    return rows.withColumns({"strippable": may, "entry_index": entry}).select("strippable", "entry_index", "session_id", "trace_id", "span_id", F.col("trace_start").cast("timestamp"), F.col("message_index").cast("long"), "role", "content_hash").groupBy("session_id").applyInPandas(mark, schema)
 
 
 def merged_tools(tools: DataFrame) -> DataFrame:
