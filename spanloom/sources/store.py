@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,22 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformed(spark.sql(SPANS_SQL, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders")))
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once below ``spark.checkpoint.dir`` and read back: what reads them has a plan of one scan.
+
+    The files stay until that folder is cleaned.  Without the setting only a local run, which is one process, may stage.
+    """
+    spark = rows.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+    path = f"{shared}/spanloom-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def append(rows: DataFrame, path: str, time: str = "timestamp_start") -> None:
     """Append spans or metrics, partitioned by project and day; point filters find their files by Bloom filter.
 
