@@ -6,7 +6,7 @@ import base64
 import json
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +53,11 @@ def _plain_texts(wire: Column) -> Column:
         except (ValueError, TypeError, AttributeError, KeyError, RecursionError):
             return x  # not of the wire's form: kept as it is
 
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([[text(x) for x in xs] if xs is not None else [] for xs in column])
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        if not column.null_count and not len(column.flatten()):
+            return column  # nothing nested in the whole batch, as in most
+        return pa.array([[text(x) for x in xs or []] for xs in column.to_pylist()], pa.list_(pa.string()))
 
     return run(wire)
 
@@ -94,13 +96,18 @@ def nanos(text: Column) -> Column:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The same rows behind a generator of one row each, so that no later expression computes a column of them again."""
-    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
+    """The same rows behind a generator of one row each, so that no later expression computes a column of them again.
+
+    The columns pass beside the generator, so those that nobody reads are not computed at all.
+    """
+    return rows.withColumn("_one", F.explode(F.array(F.lit(1)))).drop("_one")
 
 
 def spans(requests: DataFrame) -> DataFrame:
     """A row for each span of each request (column ``resourceSpans``, with project_id)."""
-    r = requests.select("project_id", F.explode("resourceSpans").alias("r")).withColumn("nested", nested_texts(F.col("r.resource.attributes")))
+    # out of a generator: the optimizer tests what is exploded for null and size, and would parse the request again for each test
+    parsed = requests.select("project_id", F.explode(F.array("resourceSpans")).alias("resourceSpans"))
+    r = parsed.select("project_id", F.explode("resourceSpans").alias("r")).withColumn("nested", nested_texts(F.col("r.resource.attributes")))
     s = r.select("project_id", attribute_map(F.col("r.resource.attributes"), F.col("nested")).alias("resource"), F.explode("r.scopeSpans").alias("s"))
     x = s.select("project_id", "resource", F.explode("s.spans").alias("x"))
     events = F.coalesce("x.events", F.array().cast(f"array<{EVENT}>"))
